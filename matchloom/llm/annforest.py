@@ -102,7 +102,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def search_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 12, leaf: int = 24, budget: float = 4.0, seed: int = 1, grid: Grid = Grid()) -> DataFrame:
+def search_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16, leaf: int = 24, budget: float = 1.0, seed: int = 1, grid: Grid = Grid()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` found for each row of ``queries``.
 
     budget: rows collected for a query from the forest of a shard, repeats in several trees
