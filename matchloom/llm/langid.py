@@ -25,11 +25,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.llm._common import cached, cut
+from matchloom.llm._common import cached, cut, small_batches, trim
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
-PIECE = 1 << 18  # characters handled at a time
+PIECE = 1 << 16  # characters handled at a time
 UNKNOWN = "und"
 
 
@@ -127,7 +127,7 @@ def fit(
     most frequent ``most_languages`` languages are learned. A text is rejected if its cosine
     is below ``slack`` times the least that any text of the sample has with its own language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return LanguageModel([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, int), 0.0)
@@ -154,6 +154,7 @@ def fit(
         full = np.flatnonzero(df)
         out.append((None, [*full.tolist(), DIM], [*df[full].tolist(), n]))
         yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in out], pa.string()), "dims": pa.array([x[1] for x in out], pa.list_(pa.int32())), "tf": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+        trim()
 
     found = cut(kept.mapInArrow(run, "lang string, dims array<int>, tf array<long>"))
     spread = found.where("lang IS NULL").select(F.explode(F.arrays_zip("dims", "tf")).alias("x")).groupBy("x.dims").agg(F.sum("x.tf").alias("df")).collect()
@@ -187,8 +188,8 @@ def predictor(model: LanguageModel):
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             out = []
-            for at in range(0, len(texts), 256):
-                tf = [counts(t) for t in texts.iloc[at : at + 256]]
+            for at in range(0, len(texts), 64):
+                tf = [counts(t) for t in texts.iloc[at : at + 64]]
                 known = [k for k, v in enumerate(tf) if v is not None]
                 lang, score, rejected = [UNKNOWN] * len(tf), np.zeros(len(tf)), np.ones(len(tf), bool)
                 if known and len(model.centroids):
@@ -201,10 +202,11 @@ def predictor(model: LanguageModel):
                     rejected[known] = top < model.least
                 out.append(pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected}))
             yield pd.concat(out) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "rejected": pd.Series([], dtype=bool)})
+        trim()
 
     return predict
 
 
 def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with one more column: struct(lang_pred, score, rejected)."""
-    return docs.withColumn(out, predictor(model)(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(out, predictor(model)(F.col(text_col).cast("string")))

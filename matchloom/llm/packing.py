@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm._common import cached
+from matchloom.llm._common import cached, small_batches, trim
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SAFE = 1 << 16
@@ -148,7 +148,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     return [w for w in windows if w]
 
 
-def pack(docs: DataFrame, encode: Callable[[str], np.ndarray], capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush_tokens: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, encode: Callable[[str], np.ndarray], capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush_tokens: int = 1 << 21) -> DataFrame:
     """One row for each piece of a document: where it comes from, its ids (little-endian unsigned
     32-bit integers), and its sequence and place there.
 
@@ -172,8 +172,8 @@ def pack(docs: DataFrame, encode: Callable[[str], np.ndarray], capacity: int = 1
                 offset += n
             sequence += 1
         made = []
-        for at in range(0, len(out), 4096):
-            part = out[at : at + 4096]
+        for at in range(0, len(out), 1024):
+            part = out[at : at + 1024]
             made.append(pa.RecordBatch.from_arrays([
                 pa.array([rows[d][0] for d, *_ in part], pa.int64()),
                 pa.array([x[1] for x in part], pa.int64()),
@@ -199,5 +199,7 @@ def pack(docs: DataFrame, encode: Callable[[str], np.ndarray], capacity: int = 1
                     rows, held = [], 0
         if rows:
             yield from emit(rows, sequence)[1]
+        rows = []
+        trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)

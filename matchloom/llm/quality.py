@@ -25,14 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchloom.llm._common import cached
+from matchloom.llm._common import cached, small_batches, trim
 
 PASSAGE = 64  # words
 GRAM_BITS = 8
 GRAMS = 1 << GRAM_BITS
 FIGURES = 8
 DIM = GRAMS + 128 + FIGURES
-PIECE = 1 << 17  # characters encoded at a time
+PIECE = 1 << 16  # characters encoded at a time
 
 
 def _classes() -> np.ndarray:
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     # the sample is small by its bound; its ids find their texts before texts are moved
     sample = known.where(draw < min(1.0, fit_rows / n)).groupBy("id").agg(F.round(F.avg("y")).alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(draw < min(1.0, fit_rows / n)).join(F.broadcast(sample), "id").select("id", "text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(draw < min(1.0, fit_rows / n)).join(F.broadcast(sample), "id").select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if len(x) > fit_passages:
                     x = x[np.linspace(0, len(x) - 1, fit_passages).astype(int)]
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "y": pa.array([y], pa.float64()), "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
+        trim()
 
     found = rows.mapInArrow(run, "id long, y double, x binary").orderBy("id", "x").collect()
     if not found:
@@ -232,5 +233,6 @@ def scorer(model: MilModel | None):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([0.5 if model is None else score(model, t) for t in texts], dtype="float64")
+        trim()
 
     return run
