@@ -43,6 +43,7 @@ def search(rows: DataFrame, queries: DataFrame, find: Callable, score_type: str,
     """
     rows = cut(rows.withColumn("dim", F.size("vec")))
     queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # attributes of its own, or pruning mixes the sides up
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / grid.shard_rows)), max(1, math.ceil(m / grid.block_rows))
     left = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vec")
