@@ -135,9 +135,11 @@ def paragraph_licence(paragraph: Column, model: LicenceModel, least: float = 0.5
     words = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0))
 
     def found(ws: Column) -> Column:
-        n = F.size(ws)
-        own = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(ws, i, F.lit(k)), " "))).otherwise(F.expr("CAST(array() AS array<string>)")) for k in (1, 2, 3)]
-        return F.array_distinct(F.concat(*own))
+        def of(k: int) -> Column:
+            places = F.sequence(F.lit(1), F.size(ws) - (k - 1))
+            return F.when(F.size(ws) >= k, F.transform(places, lambda i: F.array_join(F.slice(ws, i, F.lit(k)), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
+
+        return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
     def judged(gs: Column) -> Column:
         weights = F.filter(F.transform(gs, lambda g: F.element_at(_lookup(model), g)), lambda w: w.isNotNull())

@@ -297,5 +297,8 @@ def digest(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col:
     """(doc_id, n_<base kind>, base_sha256, spans, n_added): counts and hash of the base spans."""
     found = annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", "found")
     found = found.select("doc_id", "found", F.filter("found", lambda s: s["base"]).alias("base"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
+    def of(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    n = [of(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
     return found.select("doc_id", *n, F.sha2(listing(F.col("base")).cast("binary"), 256).alias("base_sha256"), listing(F.col("found")).alias("spans"), (F.size("found") - F.size("base")).cast("long").alias("n_added"))

@@ -46,11 +46,11 @@ def test_tree_finds_the_tightest_window():
                     rooms.remove(got[0])
 
 
-def test_decreasing_items_seldom_need_cuts():
+def test_most_items_stay_whole():
     rng = random.Random(1)
     lengths = [rng.randint(1, 1023) for _ in range(4000)]
     windows = packing.best_fit(lengths, 1024)
-    assert sum(len(w) for w in windows) < 1.02 * len(lengths)
+    assert sum(len(w) for w in windows) < 1.2 * len(lengths)
 
 
 TOKENIZERS = pytest.importorskip("public_tokenizers")
