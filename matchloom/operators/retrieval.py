@@ -8,14 +8,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchloom.functions import scores
 
-# Prompt parts, with {item} for the noun.
+# Prompt parts, with {item} for the noun; example patterns by numbers of matches and non-matches.
 QUESTIONS = {
-    "q1": "Are {item} A and {item} B the same?",
-    "q2": "Do {item} A and {item} B refer to the same entity?",
-    "q3": "Is {item} A the same as {item} B?",
-    "q4": "Do these two {item}s match?",
+    "q1": "Do {item} A and {item} B refer to the same entity?",
+    "q2": "Are {item} A and {item} B the same?",
+    "q3": "Do these two {item}s refer to the same entity?",
+    "q4": "Are these two {item}s the same?",
+}
+TASKS = {
+    "t1": "The task is to identify whether the two {item}s refer to the same entity based on the attribute values.\n\n",
+    "t2": "The task is to identify whether the two {item}s refer to the same entity.\n\n",
+    "t3": "This is an entity matching task.\n\n",
+}
+PATTERNS = {
+    (1, 1): ["10", "01"],
+    (2, 2): ["0110", "1001"],
+    (3, 3): ["010110", "101001"],
+    (2, 4): ["010100", "001010", "000110"],
+    (4, 4): ["10010110", "01101001"],
+    (3, 5): ["00100101", "00011001", "00110010"],
+    (5, 5): ["0110010110", "1001101001"],
+    (4, 6): ["1000100110", "0100101001", "1100010010"],
 }
-TASKS = {"t1": "This is an entity matching task.", "t2": "Decide whether two records describe the same {item}.", "t3": "Compare the two {item}s below."}
 
 
 def part(table: dict[str, str], key: str | None, item: str) -> str:
@@ -74,6 +88,13 @@ def ordered(retrieved: DataFrame, order: str, seed: int = 0) -> DataFrame:
     return placed.select("test_id", "example_id", "label", "sim", F.row_number().over(at).alias("pos"))
 
 
+def pattern(pos: int, neg: int, variant: int = 0) -> list[int]:
+    """The variant-th pattern for so many matches and non-matches."""
+    if (pos, neg) not in PATTERNS:
+        raise ValueError(f"no pattern for {pos} matches and {neg} non-matches")
+    return [int(c) for c in PATTERNS[pos, neg][variant]]
+
+
 def patterned(retrieved: DataFrame, pattern: Sequence[int]) -> DataFrame:
     """R3b (o3): the k-th position takes the next example, least similar first, of the class that the pattern names there."""
     turns = [(p + 1, y, list(pattern[: p + 1]).count(y)) for p, y in enumerate(pattern)]
@@ -88,22 +109,34 @@ def example_text(text: Column, label: Column, question: str) -> Column:
     return F.concat(text, F.lit(f"\n{question} "), F.when(label == 1, "Yes.").otherwise("No."))
 
 
-def prompts(tests: DataFrame, examples: DataFrame, placed: DataFrame, item: str = "Product", task: str = "t1", question: str = "q1", prefix: str = "") -> DataFrame:
+def _prompt(head: Column, block: Column, text: Column, ask: str) -> Column:
+    shown = F.when(F.coalesce(block, F.lit("")) != "", F.concat(block, F.lit("\n\n"))).otherwise(F.lit(""))
+    return F.concat(head, shown, text, F.lit(f"\n{ask}"))
+
+
+def prompts(tests: DataFrame, examples: DataFrame, placed: DataFrame, item: str = "Product", task: str = "t3", question: str = "q2") -> DataFrame:
     """(test_id, prompt): task, the test's examples in their order, and the test with the question.
 
     tests: (test_id, text); examples: (example_id, text, label); placed: from ``ordered``. A test without
-    examples gets a zero-shot prompt. R6: no example at all where some are wanted is an error of the caller.
+    examples gets a zero-shot prompt.
     """
     ask = part(QUESTIONS, question, item)
     shown = examples.select("example_id", example_text(F.col("text"), F.col("label"), ask).alias("shown"))
-    lines = placed.select("test_id", "example_id", "pos").join(F.broadcast(shown), "example_id")
+    lines = placed.select("test_id", "example_id", "pos").join(F.broadcast(shown), "example_id")  # a label budget long
     block = lines.groupBy("test_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda s: s["shown"]), "\n\n").alias("block"))
-    head = prefix or part(TASKS, task, item)
-    return tests.join(block, "test_id", "left").select("test_id", F.concat_ws("\n\n", F.lit(head), "block", F.concat(F.col("text"), F.lit(f"\n{ask}"))).alias("prompt"))
+    return tests.join(block, "test_id", "left").select("test_id", _prompt(F.lit(part(TASKS, task, item)), F.col("block"), F.col("text"), ask).alias("prompt"))
 
 
-def shared_prompts(tests: DataFrame, examples: DataFrame, order_col: str = "rank", item: str = "Product", task: str = "t1", question: str = "q1") -> DataFrame:
-    """With as many shots as examples, all tests share one block of them."""
+def shared_prompts(tests: DataFrame, examples: DataFrame, order_col: str = "rank", item: str = "Product", task: str = "t3", question: str = "q2", k: int = 0) -> DataFrame:
+    """With as many shots as examples, all tests share one block of them. R6: fewer than ``k`` is an error."""
+    if k and examples.count() < k:
+        raise ValueError(f"fewer than {k} examples")
     ask = part(QUESTIONS, question, item)
     block = examples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), example_text(F.col("text"), F.col("label"), ask).alias("shown")))), lambda s: s["shown"]), "\n\n").alias("block"))
-    return tests.crossJoin(F.broadcast(block)).select("test_id", F.concat_ws("\n\n", F.lit(part(TASKS, task, item)), F.when(F.col("block") != "", F.col("block")), F.concat(F.col("text"), F.lit(f"\n{ask}"))).alias("prompt"))
+    return tests.crossJoin(F.broadcast(block)).select("test_id", _prompt(F.lit(part(TASKS, task, item)), F.col("block"), F.col("text"), ask).alias("prompt"))
+
+
+def prefixed_prompts(tests: DataFrame, prefix: str, item: str = "Product", question: str = "q2") -> DataFrame:
+    """A prefix written by hand (a string, Q14) in place of task and examples."""
+    ask = part(QUESTIONS, question, item)
+    return tests.select("test_id", F.concat(F.lit(f"{prefix}\n"), F.col("text"), F.lit(f"\n{ask}")).alias("prompt"))
