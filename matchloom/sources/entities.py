@@ -92,7 +92,7 @@ def selection_path(top: str, method: str, model: str | None = None) -> str:
 
 def write_selection(chosen: DataFrame, pairs: DataFrame, k: int, path: str) -> None:
     """Chosen: (rank, id); k is the number asked for (Q3)."""
-    rows = chosen.join(pairs.select(F.col("pair_id").alias("id"), "label"), "id").select(F.lit(k).alias("k"), "rank", F.col("id").alias("index"), "label")
+    rows = chosen.select("rank", "id").join(pairs.select(F.col("pair_id").alias("id"), "label"), "id").select(F.lit(k).alias("k"), "rank", F.col("id").alias("index"), "label")
     rows.orderBy("rank").coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a label budget long
 
 
