@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.representatives(docs).select(*docs.columns)
+    """One document of each group stays: five-word shingles with a similarity of 0.8 or more."""
+    return simhash.representatives(docs, simhash.similar(docs)).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def fixture(spark):
 def test_components_match_brute_force(spark, monkeypatch, cell_rows):
     rows, df = fixture(spark)
     links = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda d, n, budget: links(d, n, budget, slot_rows=8, cell_rows=cell_rows))
+    monkeypatch.setattr(simhash, "links", lambda d, n, budget, most=0: links(d, n, budget, 8, cell_rows, most))
     got = simhash.near_duplicates(df).collect()
     known = [(i, t) for i, t in rows if i is not None]
     fps = [plain_fingerprint(t) for _, t in known]
@@ -118,7 +118,7 @@ def test_components_match_brute_force(spark, monkeypatch, cell_rows):
 def test_representatives_keep_one_of_each_group(spark):
     rows, df = fixture(spark)
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
-    kept = simhash.representatives(df).collect()
+    kept = simhash.representatives(df, simhash.near_duplicates(df)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({v for v in found.values() if v is not None})
     assert sum(r.doc_id is None for r in kept) == 1
     assert kept[0].asDict().keys() == {"doc_id", "text", "fp", "component_id"}
@@ -127,7 +127,7 @@ def test_representatives_keep_one_of_each_group(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
-    assert simhash.representatives(df).count() == 0
+    assert simhash.representatives(df, simhash.similar(df)).count() == 0
 
 
 def test_star_components_on_a_long_chain_and_a_hub(spark):
@@ -136,3 +136,69 @@ def test_star_components_on_a_long_chain_and_a_hub(spark):
     got = {r.a: r.b for r in simhash.star_components(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {1000 + i: 999 for i in range(200)}
     assert simhash.star_components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
+
+
+def jaccard(a, b):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_prefixes_cover_every_pair_within_the_budget():
+    rng = random.Random(8)
+    for n in (10, 10**8, 10**10, 10**12):
+        ways = simhash.prefixes(n, 4, 8192)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for k in rng.sample(range(64), 4):
+                b ^= 1 << k
+            assert any(all((a ^ b) >> (64 - first - width) & ((1 << width) - 1) == 0 for first, width in order[: len(ways[0][0]) - 4]) for order, _ in ways)
+    assert len(simhash.prefixes(10, 4, 8192)) == 5 and len(simhash.prefixes(10**9, 4, 8192)) == 15
+
+
+def test_permuted_keys_keep_distances(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    for order, _ in simhash.prefixes(10**9, 4, 8192)[::4]:
+        keys = [r.k % (1 << 64) for r in df.select(F.expr(simhash._permuted(order)).alias("k")).collect()]
+        for (a, b), (x, y) in zip(zip(values, values[1:]), zip(keys, keys[1:])):
+            assert bin(a ^ b).count("1") == bin(x ^ y).count("1")
+
+
+def test_longer_prefixes_find_the_same_components(spark, monkeypatch):
+    rows, df = fixture(spark)
+    want = sorted(map(tuple, simhash.components(df.where("doc_id IS NOT NULL")).collect()))
+    prefixes = simhash.prefixes
+    monkeypatch.setattr(simhash, "prefixes", lambda n, budget, slot_rows: prefixes(10**9, budget, slot_rows))
+    assert sorted(map(tuple, simhash.components(df.where("doc_id IS NOT NULL")).collect())) == want
+
+
+def test_similar_links_what_is_similar(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows, doc = [], 0
+    for g in range(40):
+        base = [rng.choice(vocabulary[:60]) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(rng.randint(40, 400))]
+        rows.append((doc, " ".join(base), g))
+        for rate in (0.0, 0.002, 0.01, 0.015):
+            doc += 1
+            copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in base]
+            rows.append((doc, " ".join(copy), g))
+        doc += 1
+    rows += [(10000 + i, "a b c", -1) for i in range(30)] + [(20000, None, -2), (20001, "  ", -2), (20002, "quite another text", -3)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string, sketch int")).collect()}
+    assert len(got) == len(rows)
+    by_id = {i: (t or "", g) for i, t, g in rows}
+    near = [(a, b) for a in by_id for b in by_id if a < b and by_id[a][1] == by_id[b][1] and jaccard(by_id[a][0], by_id[b][0]) >= 0.8]
+    assert len(near) > 150
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    for i, c in got.items():
+        assert by_id[i][1] == by_id[c][1]  # never two unrelated texts
+    assert got[20000] == got[20001] == 20000 and got[20002] == 20002
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.similar(spark.createDataFrame([(None, "a b c")] * 2, "doc_id long, text string")).where("component_id IS NULL").count() == 2
