@@ -21,14 +21,14 @@ TASKS = {
     "t3": "This is an entity matching task.\n\n",
 }
 PATTERNS = {
-    (1, 1): ["10", "01"],
-    (2, 2): ["0110", "1001"],
-    (3, 3): ["010110", "101001"],
-    (2, 4): ["010100", "001010", "000110"],
-    (4, 4): ["10010110", "01101001"],
-    (3, 5): ["00100101", "00011001", "00110010"],
-    (5, 5): ["0110010110", "1001101001"],
-    (4, 6): ["1000100110", "0100101001", "1100010010"],
+    (1, 1): [[1, 0], [0, 1]],
+    (2, 2): [[0, 1, 1, 0], [1, 0, 0, 1]],
+    (3, 3): [[0, 1, 0, 1, 1, 0], [1, 0, 1, 0, 0, 1]],
+    (2, 4): [[0, 1, 0, 1, 0, 0], [0, 0, 1, 0, 1, 0], [0, 0, 0, 1, 1, 0]],
+    (4, 4): [[1, 0, 0, 1, 0, 1, 1, 0], [0, 1, 1, 0, 1, 0, 0, 1]],
+    (3, 5): [[0, 0, 1, 0, 0, 1, 0, 1], [0, 0, 0, 1, 1, 0, 0, 1], [0, 0, 1, 1, 0, 0, 1, 0]],
+    (5, 5): [[0, 1, 1, 0, 0, 1, 0, 1, 1, 0], [1, 0, 0, 1, 1, 0, 1, 0, 0, 1]],
+    (4, 6): [[1, 0, 0, 0, 1, 0, 0, 1, 1, 0], [0, 1, 0, 0, 1, 0, 1, 0, 0, 1], [1, 1, 0, 0, 0, 1, 0, 0, 1, 0]],
 }
 
 
@@ -41,8 +41,8 @@ def balanced(tests: DataFrame, examples: DataFrame, k: int, digits: int = 9, mos
     """R2: (test_id, example_id, label, sim, rn): for each test its nearest k examples, half of each class.
 
     Surplus of one class fills what the other lacks. tests: (test_id, vec); examples: (example_id, vec,
-    label), the selected demonstrations, as many as the label budget allows; they are broadcast after a
-    check of their number. rn ranks by similarity within test and label.
+    label), the selected demonstrations, as many as the label budget allows; they are broadcast as one array after
+    a check of their number, and ranked row by row, without a shuffle. rn ranks by similarity within test and label.
     """
     n, pos = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n > most_broadcast:
@@ -50,11 +50,17 @@ def balanced(tests: DataFrame, examples: DataFrame, k: int, digits: int = 9, mos
     k = min(k, n)
     half = k // 2
     keep_pos, keep_neg = max(half, k - (n - pos)), max(k - half, k - pos)
-    e = examples.select("example_id", "label", F.col("vec").alias("_v"))
-    sims = tests.crossJoin(F.broadcast(e)).select("test_id", "example_id", "label", F.round(scores.dot(F.col("vec"), F.col("_v")), digits).alias("sim"))
-    order = Window.partitionBy("test_id", "label").orderBy(F.desc("sim"), "example_id")
-    ranked = sims.withColumn("rn", F.row_number().over(order))
-    return ranked.where(F.when(F.col("label") == 1, F.col("rn") <= keep_pos).otherwise(F.col("rn") <= keep_neg))
+    held = examples.agg(F.collect_list(F.struct("example_id", "label", "vec")).alias("_examples"))
+    rows = tests.crossJoin(F.broadcast(held))  # one row on the right
+
+    def best(label: int, keep: int) -> Column:
+        mine = F.filter("_examples", lambda e: e["label"] == label)
+        near = F.transform(mine, lambda e: F.struct((-F.round(scores.dot(F.col("vec"), e["vec"]), digits)).alias("far"), e["example_id"].alias("example_id"), e["label"].alias("label")))
+        first = F.slice(F.array_sort(near), 1, keep)
+        return F.transform(first, lambda e, i: F.struct(e["example_id"].alias("example_id"), e["label"].alias("label"), (-e["far"]).alias("sim"), (i + 1).alias("rn")))
+
+    found = rows.select("test_id", F.explode(F.concat(best(1, keep_pos), best(0, keep_neg))).alias("e"))
+    return found.select("test_id", "e.example_id", "e.label", "e.sim", "e.rn")
 
 
 def ordering(order: str, seed: int = 0) -> list[Column] | None:
@@ -92,7 +98,7 @@ def pattern(pos: int, neg: int, variant: int = 0) -> list[int]:
     """The variant-th pattern for so many matches and non-matches."""
     if (pos, neg) not in PATTERNS:
         raise ValueError(f"no pattern for {pos} matches and {neg} non-matches")
-    return [int(c) for c in PATTERNS[pos, neg][variant]]
+    return PATTERNS[pos, neg][variant]
 
 
 def patterned(retrieved: DataFrame, pattern: Sequence[int]) -> DataFrame:

@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from matchloom.functions.scores import api_cost, reasoned_class
 
 
 class Scorer(Protocol):
@@ -80,6 +82,63 @@ def encoded(df: DataFrame, make: Callable[[], Encoder], text_col: str, out: str
     return df.withColumn(out, run(F.col(text_col)))
 
 
+class Generator(Protocol):
+    def generate(self, prompts: Sequence[str]) -> list[str]: ...
+
+
+def until(text: str, stops: Sequence[str]) -> str:
+    """M4: the text up to and with the first stop phrase."""
+    ends = [text.find(s) + len(s) for s in stops if s in text]
+    return text[: min(ends)] if ends else text
+
+
+def reasoned(prompts: DataFrame, make: Callable[[], Generator], text_col: str = "prompt", stops: Sequence[str] = (), batch: int = 16) -> DataFrame:
+    """M3: ``prompts`` with the generated answer, each row's own, and the class that it argues for."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        generator = make()
+        for s in parts:
+            texts = list(s.fillna(""))
+            yield pd.Series([until(a, stops) for k in range(0, len(texts), batch) for a in generator.generate(texts[k : k + batch])], dtype="object")
+
+    return prompts.withColumn("answer", run(F.col(text_col))).withColumn("pred", reasoned_class(F.col("answer")))
+
+
+# Full names of models by short names; rates by 1,000 tokens of prompt and answer.
+MODELS = {
+    "gpt2": "gpt2",
+    "gpt3.5": "gpt-3.5-turbo-0301",
+    "gpt4": "gpt-4-0314",
+    "vicuna": "eachadea/vicuna-13b-1.1",
+    "ada": "text-ada-001",
+}
+RATES = {"gpt-4": (0.03, 0.06), "gpt-3.5": (0.002, 0.002)}
+LONG_CONTEXT, CONTEXT = 4096, 2048
+
+
+def model_name(name: str) -> str:
+    """llama2-<size>b and llama2-<size>bf (chat), llama<size>, or a name of MODELS."""
+    if name in MODELS:
+        return MODELS[name]
+    if m := re.fullmatch(r"llama2-(\d+)b(f?)", name):
+        return f"llama-2-{m[1]}b-{'chat-' if m[2] else ''}hf"
+    if m := re.fullmatch(r"llama(\d+)", name):
+        return "huggyllama/llama-65b" if m[1] == "65" else f"decapoda-research/llama-{m[1]}b-hf"
+    raise ValueError(f"unknown model {name!r}")
+
+
+def context_tokens(name: str) -> int:
+    """M7"""
+    return LONG_CONTEXT if name.startswith("llama2-") else CONTEXT
+
+
+def cost(model: str, prompt_tokens: Column, answer_tokens: Column) -> Column:
+    """By the model's rates; nothing for other models."""
+    rates = next((r for k, r in RATES.items() if k in model), (0.0, 0.0))
+    return api_cost(prompt_tokens, answer_tokens, *rates)
+
+
 class HashEncoder:
     """A stand-in encoder: signed hashed words, of length one."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchloom.functions import scores, text
 from matchloom.operators import blocks, gain, graph, metrics, ranking, retrieval, scoring, selection
@@ -488,9 +488,12 @@ t AS (SELECT *, least(round_even((mine + other)::DOUBLE / nullif(least(mine, oth
 SELECT id, wrong, CASE WHEN least(mine, other) = 0 THEN rank WHEN short THEN rank * rate ELSE rate * (rank // (rate - 1)) + 1 + rank % (rate - 1) END AS key FROM t""")
 def difficulty_order(spark: SparkSession, d: str) -> DataFrame:
     rows = views.probs(spark, d).withColumn("wrong", (F.col("label") == 1) != (F.col("prob") > 0.5))
-    by = Window.partitionBy("wrong", "label").orderBy(F.when(F.col("label") == 1, F.col("prob")).otherwise(-F.col("prob")), "id")
-    counts = rows.groupBy("wrong").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"))
-    ranked = rows.withColumn("rank", F.row_number().over(by) - 1).join(F.broadcast(counts), "wrong")
+    hardest = F.when(F.col("label") == 1, F.col("prob")).otherwise(-F.col("prob"))
+    placed = cut(ranking.numbered(rows, [F.asc("wrong"), F.asc("label"), hardest.asc(), F.asc("id")], "place"))
+    one = lambda y: F.sum(F.when(F.col("label") == y, 1).otherwise(0))
+    counts = placed.groupBy("wrong").agg(one(1).alias("pos"), one(0).alias("neg"))
+    starts = placed.groupBy("wrong", "label").agg(F.min("place").alias("start"))  # four rows
+    ranked = placed.join(F.broadcast(starts), ["wrong", "label"]).join(F.broadcast(counts), "wrong").withColumn("rank", F.col("place") - F.col("start"))
     key = F.when(F.col("label") == 1, ranking.interleave_key(F.col("rank"), F.col("pos"), F.col("neg"), True)).otherwise(ranking.interleave_key(F.col("rank"), F.col("neg"), F.col("pos"), False))
     return ranked.select("id", "wrong", key.cast("long").alias("key"))
 

@@ -17,7 +17,7 @@ from matchloom.operators import gain, metrics, retrieval, scoring, selection
 from matchloom.sources import entities
 from matchloom.sources.shared import cut
 
-# Data sets by their short names, the folders of two kinds, and the nouns that are not Product.
+# Data sets by their short names, the folders of two kinds, and the nouns that are not Product, as spelled in prompts.
 DATASETS = {
     "AG": "Amazon-Google",
     "BR": "BeerAdvo-RateBeer",
@@ -29,7 +29,7 @@ DATASETS = {
     "AB": "Abt-Buy",
 }
 MARKED = ("cameras", "computers", "shoes", "watches")
-NOUNS = {"DA": "Paper", "DS": "Paper", "FZ": "Restaurant", "IA": "Song"}
+NOUNS = {"DA": "Paper", "DS": "Paper", "FZ": "Resturant", "IA": "Song"}
 WITHOUT_MODEL = ("MFL", "fast_votek", "cosine_sim")
 
 
@@ -49,6 +49,8 @@ class Settings:
     eval_size: int = 100
     sim: str = "cosine"
     metric: str = "f1"
+    separate: bool = False
+    sample: bool = False  # draw by gain in place of the best
     style: str = "s6"
     order: str = "o7"
     question: str = "q2"
@@ -196,7 +198,7 @@ def choose(rows: DataFrame, s: Settings, predictor: PromptPredictor) -> DataFram
         return selection.calibrated_gain(cut(predictor.predict([])), predictor.content_free(), s.budget)
     if s.method == "our":
         known = rows.select("id", "label", "score").collect()  # candidates() has bounded them
-        state = gain.iterative_gain(sorted(r["id"] for r in known), {r["id"]: r["label"] for r in known}, {r["id"]: r["score"] for r in known}, predictor.predict_many, s.k, s.budget, s.eval_size, s.metric)
+        state = gain.iterative_gain(sorted(r["id"] for r in known), {r["id"]: r["label"] for r in known}, {r["id"]: r["score"] for r in known}, predictor.predict_many, s.k, s.budget, s.eval_size, s.metric, separate=s.separate, sample_seed=s.seed if s.sample else None)
         return rows.sparkSession.createDataFrame([(n + 1, i) for n, i in enumerate(state.selected)], "rank int, id long")
     raise ValueError(f"unknown method {s.method!r}")
 

@@ -237,6 +237,23 @@ def test_scorers(spark):
     assert math.isclose(math.hypot(*vec[0]), 1) and vec[1] == [0.0] * 8
 
 
+def test_generated_answers_names_and_costs(spark):
+    class Echo:
+        def generate(self, prompts):
+            return [f"{p}: therefore, the answer is no. And more" if "x" in p else f"{p}: the same." for p in prompts]
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, prompt string")
+    got = {r.id: (r.answer, r.pred) for r in scoring.reasoned(df, Echo, stops=["no.", "zzz"]).collect()}
+    assert got == {1: ("x: therefore, the answer is no.", 0), 2: ("y: the same.", 1)}
+    names = ["gpt4", "llama2-13b", "llama2-7bf", "llama65", "llama7"]
+    assert [scoring.model_name(n) for n in names] == ["gpt-4-0314", "llama-2-13b-hf", "llama-2-7b-chat-hf", "huggyllama/llama-65b", "decapoda-research/llama-7b-hf"]
+    with pytest.raises(ValueError):
+        scoring.model_name("other")
+    assert scoring.context_tokens("llama2-7b") == 4096 and scoring.context_tokens("gpt2") == 2048
+    row = df.select(scoring.cost("gpt-4-0314", F.lit(1000), F.lit(1000)).alias("a"), scoring.cost("gpt2", F.lit(5), F.lit(5)).alias("b")).first()
+    assert row.a == pytest.approx(0.09) and row.b == 0
+
+
 def test_equal_width_bins_and_shares(spark):
     rng = np.random.default_rng(1)
     v = rng.random(500)
