@@ -11,7 +11,7 @@ The model is a few arrays of fixed size. ``predict`` reads every character of ev
 
 Defined results: a null text or one without letters is ``und`` with score 0 and counts as rejected;
 rows with a null language teach nothing; languages compare as exact strings; if nothing can be
-learned every text is ``und``; repeated rows count as often as they occur; other columns are
+learned every text is ``und``, and only those without letters are rejected; repeated rows count as often as they occur; other columns are
 carried by ``annotate`` untouched and renamed never.
 """
 
@@ -192,7 +192,9 @@ def predictor(model: LanguageModel):
                 tf = [counts(t) for t in texts.iloc[at : at + 64]]
                 known = [k for k, v in enumerate(tf) if v is not None]
                 lang, score, rejected = [UNKNOWN] * len(tf), np.zeros(len(tf)), np.ones(len(tf), bool)
-                if known and len(model.centroids):
+                if known and not len(model.centroids):
+                    rejected[known] = False
+                elif known:
                     cos = weigh(np.stack([tf[k] for k in known]).astype(np.float32), model.idf) @ model.centroids.T
                     best = cos.argmax(1)
                     top = cos[np.arange(len(known)), best].astype(float)
@@ -204,7 +206,7 @@ def predictor(model: LanguageModel):
             yield pd.concat(out) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "rejected": pd.Series([], dtype=bool)})
         trim()
 
-    return predict
+    return predict.asNondeterministic()  # so that a filter on it doesn't work it out a second time
 
 
 def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:

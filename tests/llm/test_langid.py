@@ -67,5 +67,6 @@ def test_edge_cases(spark):
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     model = langid.fit(df)
-    assert langid.annotate(df, model).first()["language"].lang_pred == "und"
+    found = langid.annotate(df, model).first()["language"]
+    assert found.lang_pred == "und" and not found.rejected
     assert langid.fit(df.limit(0)).languages == []
