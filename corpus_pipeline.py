@@ -11,14 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchloom.llm import langid, mixing, packing, pii, simhash
-from matchloom.llm._common import shared_dir
+from matchloom.llm._common import fresh, shared_dir
 from matchloom.llm.catalogue import CAPACITY, gpt_tokens
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from every labelled document; documents that are rejected go, the others get the language found."""
-    found = langid.annotate(docs, langid.fit(docs), out="_language")
-    return found.where(~F.col("_language.rejected")).withColumn("lang", F.col("_language.lang_pred")).select(*docs.columns)
+    (name,) = fresh(docs, "language")
+    found = langid.annotate(docs, langid.fit(docs), out=name)
+    return found.where(~F.col(f"{name}.rejected")).withColumn("lang", F.col(f"{name}.lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,10 +15,13 @@ from matchloom.llm._common import cut
 
 @dataclass(frozen=True)
 class Grid:
-    """How rows and queries are dealt: hashed shards of about shard_rows rows, blocks of about block_rows queries."""
+    """How rows and queries are dealt: hashed shards of about shard_rows rows, blocks of about block_rows queries,
+    and fewer where vectors are so long that either side of a cell would hold over cell_numbers numbers.
+    """
 
     shard_rows: int = 8192
     block_rows: int = 8192
+    cell_numbers: int = 1 << 20
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
@@ -44,8 +47,10 @@ def search(rows: DataFrame, queries: DataFrame, find: Callable, score_type: str,
     rows = cut(rows.withColumn("dim", F.size("vec")))
     queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # attributes of its own, or pruning mixes the sides up
-    n, m = rows.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n / grid.shard_rows)), max(1, math.ceil(m / grid.block_rows))
+    n, dims = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(64, grid.cell_numbers // dims)  # longer vectors, fewer of them
+    shards = max(1, math.ceil(n / min(grid.shard_rows, most)))
+    blocks = max(1, math.ceil(queries.count() / min(grid.block_rows, most)))
     left = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vec")
     right = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vec")
     empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64" if score_type == "long" else "float64")})

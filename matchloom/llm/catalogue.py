@@ -15,7 +15,8 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def _bucket(n: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of the id as text; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def gpt_tokens():

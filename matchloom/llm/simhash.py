@@ -25,6 +25,7 @@ not read, whatever their names.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,13 +39,45 @@ from matchloom.llm._common import cut, small_batches, trim
 BITS = 64
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """Bit k is set if it is set in over half of the 64-bit hashes."""
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+PART = 1 << 20  # bytes of a text that are split into words at a time
+
+
+def _word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The text's words, part by part."""
+    at, text = 0, text.lower()  # bytes: A-Z and the six ASCII white-space characters only
+    while len(text) - at > PART and (gap := SPACE.search(text, at + PART)):
+        yield text[at : gap.start()].split()
+        at = gap.end()
+    yield text[at:].split()
+
+
+def _hash_parts(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, part by part; of a text with fewer words, of them all; of none, nothing."""
+    tail: list[bytes] = []
+    some = False
+    for words in _word_parts(text):
+        tail += words
+        if len(tail) >= shingle:
+            some = True
+            yield _shingle_hashes(tail, shingle, seed)
+            tail = tail[len(tail) - shingle + 1 :]
+    if tail and not some:
+        yield _shingle_hashes(tail, shingle, seed)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set."""
     ones = np.zeros(BITS, np.int64)
     for lo in range(0, len(hashes), 4096):
         part = hashes[lo : lo + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return ones
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    """Bit k is set if it is set in over half of n hashes."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def _shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -61,8 +94,11 @@ def _shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
 
 def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     """SimHash of a UTF-8 text over its shingles, repeats included."""
-    words = text.lower().split()  # bytes: A-Z and the six ASCII white-space characters only
-    return _majority(_shingle_hashes(words, shingle, seed)) if words else 0
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in _hash_parts(text, shingle, seed):
+        ones += _ones(hashes)
+        n += len(hashes)
+    return _majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -281,18 +317,15 @@ def text_sketch(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[list[int
     """(fingerprints of the distinct words, SimHash of the distinct shingles in SKETCH words)."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return [0] * WORDS, bytes(8 * SKETCH)
-    own = np.fromiter((xxh64_intdigest(w, seed) for w in set(words)), np.uint64)
-    shingles = np.unique(_shingle_hashes(words, shingle, seed))
+    own = [np.fromiter((xxh64_intdigest(w, seed) for w in set(words)), np.uint64) for words in _word_parts(text)]
+    words, shingles = np.unique(np.concatenate(own)), np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_parts(text, shingle, seed)]))
     fps, sketch = [], []
     for k in range(max(WORDS, SKETCH)):
         if k < WORDS:
-            fps.append(_majority(own))
+            fps.append(_majority(_ones(words), len(words)))
         if k < SKETCH:
-            sketch.append(_majority(shingles))
-        own, shingles = _mixed(own), _mixed(shingles)
+            sketch.append(_majority(_ones(shingles), len(shingles)))
+        words, shingles = _mixed(words), _mixed(shingles)
     return fps, np.array(sketch, "<u8").tobytes()
 
 

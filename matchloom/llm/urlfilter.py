@@ -99,9 +99,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), id_co
     hit = F.lit(True)
     for k, m in enumerate(masks):
         hit = hit & (F.col(f"w{k}").bitwiseAND(m) == m)
-    # rows without a URL have no block to look at; a number of their own keeps them apart
-    block = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(size)), F.pmod(F.xxhash64("page_id"), F.lit(size)) - size)
-    probed = rows.withColumn("block", F.when(F.col("key").isNotNull(), block).otherwise(block)).join(blocks, F.col("block") == F.col("b"), "left")
+    # rows without a URL have no block to look at; numbers of their own keep them apart
+    block = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(size))).otherwise(-1 - F.pmod(F.xxhash64("page_id"), F.lit(size)))
+    probed = rows.withColumn("block", block).join(blocks, F.col("block") == F.col("b"), "left")
     probed = cut(probed.select("page_id", "host", "path", "rule", "by_rule", "key", (F.col("key").isNotNull() & F.coalesce(hit, F.lit(False))).alias("possible")))
     exact = keys.select(F.col("key").alias("k"), F.lit(True).alias("on_list"))
     settled = probed.where("possible").join(exact.hint("shuffle_hash") if n * 100 > most_broadcast else F.broadcast(exact), F.col("key") == F.col("k"), "left").select(*probed.columns, F.coalesce("on_list", F.lit(False)).alias("listed"))
