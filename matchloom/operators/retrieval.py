@@ -1,4 +1,4 @@
-"""Few-shot retrieval and prompts. Blueprint ids: J7, W3, R2-R6, H27, H30."""
+"""Few-shot retrieval and prompts. Blueprint ids: J7, V7, W3, R2-R6, H27, H30."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ def balanced(tests: DataFrame, examples: DataFrame, k: int, digits: int = 9, mos
 
 
 def ordering(order: str, seed: int = 0) -> list[Column] | None:
-    """Sort keys of a test's examples; rn = 1 is the most similar of its class."""
+    """R3a, R3d, R3e: sort keys of a test's examples; any other order, o4 too (R3c), is an error."""
     least_first = [F.asc("sim"), F.desc("example_id")]
     table = {
         "o1": [F.asc("place"), F.desc("label")],

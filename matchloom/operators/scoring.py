@@ -1,4 +1,4 @@
-"""Scoring prompts with a model behind a small interface. Blueprint ids: M1-M8, V8, S12.
+"""Scoring prompts with a model behind a small interface. Blueprint ids: M1-M9, H28, A21, V8.
 
 A scorer gets a list of prompts and returns as many probabilities; it is made once in each Python worker by a
 factory that travels with the task. No model ships with the engine: ``OverlapScorer`` is a
