@@ -1,15 +1,22 @@
 """Column builders on probabilities, answers and vectors.
 
-Blueprint ids: H16-H25, P4, P5, V4, A21, M6, W5 and H32.
+Blueprint ids: H16-H25, P4, P5, T11, V4, A21, M6, W5 and H32.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 EDGE = 1e-6
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda uses it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def to_class(prob: Column) -> Column:
     """P5: 1 if over one half."""
     return (prob > 0.5).cast("int")
@@ -62,9 +69,14 @@ def token_probability(scores: Column) -> Column:
     Null if a class has no token.
     """
     by_score = F.transform(F.map_entries(scores), lambda e: F.struct(e["value"].alias("score"), e["key"].alias("token")))
-    yes = F.array_max(F.filter(by_score, lambda e: F.lower(e["token"]).contains("yes")))
-    no = F.array_max(F.filter(by_score, lambda e: F.lower(e["token"]).contains("no") & (yes.isNull() | (e["token"] != yes["token"]))))
-    return F.when(yes.isNotNull() & no.isNotNull(), softmax2(yes["score"], no["score"]))
+
+    def best(entries: Column, word: str, but: Column | None = None) -> Column:
+        return F.array_max(F.filter(entries, lambda e: F.lower(e["token"]).contains(word) & (F.lit(True) if but is None else but.isNull() | (e["token"] != but["token"]))))
+
+    def share(yes: Column, no: Column) -> Column:
+        return F.when(yes.isNotNull() & no.isNotNull(), softmax2(yes["score"], no["score"]))
+
+    return let(by_score, lambda es: let(best(es, "yes"), lambda yes: let(best(es, "no", yes), lambda no: share(yes, no))))
 
 
 def completion_class(text: Column) -> Column:
