@@ -67,12 +67,13 @@ def _hash_parts(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How often each bit is set."""
-    ones = np.zeros(BITS, np.int64)
-    for lo in range(0, len(hashes), 4096):
-        part = hashes[lo : lo + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return ones
+    """How often each bit is set, for each column of a table of 64-bit hashes: (columns, BITS)."""
+    hashes = hashes[:, None] if hashes.ndim == 1 else hashes
+    ones = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for lo in range(0, len(hashes), 255):  # so many ones fit a byte
+        part = np.ascontiguousarray(hashes[lo : lo + 255], "<u8").view(np.uint8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return ones.reshape(-1, BITS)
 
 
 def _majority(ones: np.ndarray, n: int) -> int:
@@ -96,7 +97,7 @@ def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     """SimHash of a UTF-8 text over its shingles, repeats included."""
     ones, n = np.zeros(BITS, np.int64), 0
     for hashes in _hash_parts(text, shingle, seed):
-        ones += _ones(hashes)
+        ones += _ones(hashes)[0]
         n += len(hashes)
     return _majority(ones, n)
 
@@ -320,19 +321,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _spread(x: np.ndarray, k: int) -> np.ndarray:
+    """(len(x), k): k independent hashes of each."""
+    out = np.empty((len(x), k), np.uint64)
+    for c in range(k):
+        out[:, c] = x
+        x = _mixed(x)
+    return out
+
+
 def text_sketch(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[list[int], bytes]:
     """(fingerprints of the distinct words, SimHash of the distinct shingles in SKETCH words)."""
     from xxhash import xxh64_intdigest
 
     own = [np.fromiter((xxh64_intdigest(w, seed) for w in set(words)), np.uint64) for words in _word_parts(text)]
     words, shingles = np.unique(np.concatenate(own)), np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_parts(text, shingle, seed)]))
-    fps, sketch = [], []
-    for k in range(max(WORDS, SKETCH)):
-        if k < WORDS:
-            fps.append(_majority(_ones(words), len(words)))
-        if k < SKETCH:
-            sketch.append(_majority(_ones(shingles), len(shingles)))
-        words, shingles = _mixed(words), _mixed(shingles)
+    fps, sketch = [[_majority(o, len(x)) for o in _ones(_spread(x, k))] for x, k in ((words, WORDS), (shingles, SKETCH))]
     return fps, np.array(sketch, "<u8").tobytes()
 
 
