@@ -9,7 +9,7 @@ All trees of a shard are searched through one shared priority queue. A node's pr
 signed distance between the query and the planes on the way to it, so a child never comes before its
 parent, and the queue pops the leaves of all trees in descending order of their priority. That
 order is worked out for a block of queries at a time: leaf priorities from one matrix product,
-then the best leaves of each query. Leaves are taken until ``search`` times the shard's rows are
+then the best leaves of each query. Leaves are taken until ``budget`` times the shard's rows are
 collected, a row counted in each tree; the distinct rows are ranked again by exact inner products in double precision.
 
 Every row is indexed; nothing is fitted on a sample. Work for a query grows with the number of shards.
@@ -75,11 +75,11 @@ class Forest:
         return rows, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, trees: int, leaf: int, budget: float, seed: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, trees: int, leaf: int, budget: float, least: int, seed: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     forest = Forest(x, trees, leaf, seed)
     rows, starts = forest.members()
     size = np.diff(starts)
-    want = max(budget * len(x), 4 * k)
+    want = max(budget * len(x), least, 4 * k)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), block):
         priority = forest.priorities(q[at : at + block])
@@ -102,14 +102,15 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
-def search_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16, leaf: int = 24, budget: float = 1.0, seed: int = 1, grid: Grid = Grid()) -> DataFrame:
+def search_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 16, leaf: int = 24, budget: float = 1.0, least: int = 8192, seed: int = 1, grid: Grid = Grid()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` found for each row of ``queries``.
 
     budget: rows collected for a query from the forest of a shard, repeats in several trees
-    counted, as a multiple of the shard's rows.
+    counted, as a multiple of the shard's rows; at least ``least``, as k rows of a small shard are
+    less near to the query and lie in more of its leaves.
     """
 
     def find(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return nearest(ids, x, query_ids, q, k, trees, leaf, budget, seed)
+        return nearest(ids, x, query_ids, q, k, trees, leaf, budget, least, seed)
 
     return search(usable(vectors, id_col, vec_col, True), usable(queries, id_col, vec_col, True), find, "double", k, grid)

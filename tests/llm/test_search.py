@@ -65,6 +65,18 @@ def test_forest_recall_scores_and_edges(spark, grid):
     assert {r.query_id for r in got if r.query_id >= len(x)} <= {9006}
 
 
+@pytest.mark.parametrize("n", [60, 500, 3000])
+def test_recall_on_random_vectors(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = annforest.search_forest(df, df.where("vec_id % 20 = 0")).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = sum(r.score >= np.sort(s[r.query_id])[-20] - 1e-12 for r in got)
+    assert hits >= 0.95 * 20 * len(range(0, n, 20))
+
+
 def test_forest_with_full_budget_is_exact(spark):
     x, df = table(spark, 300, odd=False)
     got = annforest.search_forest(df, df.where("vec_id % 50 = 0"), k=5, budget=1e9).collect()
