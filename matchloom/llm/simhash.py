@@ -309,79 +309,200 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return components(docs, id_col, text_col, **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WORDS = 2  # fingerprints of words, each searched
-SKETCH = 16  # 64-bit words of the sketch of shingles
+POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("at", "<u2")])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash of 64-bit hashes."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def text_shingles(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_parts(text, shingle, seed)]))
 
 
-def _spread(x: np.ndarray, k: int) -> np.ndarray:
-    """(len(x), k): k independent hashes of each."""
-    out = np.empty((len(x), k), np.uint64)
-    for c in range(k):
-        out[:, c] = x
-        x = _mixed(x)
-    return out
+def set_node(hashes: np.ndarray) -> int:
+    """A set's name: the hash of its sorted hashes."""
+    from xxhash import xxh64_intdigest
 
+    return xxh64_intdigest(hashes.astype("<u8").tobytes(), 1)
 
-def text_sketch(text: bytes, shingle: int = 5, seed: int = 42) -> tuple[list[int], bytes]:
-    """(fingerprints of the distinct words, SimHash of the distinct shingles in SKETCH words)."""
-    from xxhash import xxh64_intdigest
 
-    own = [np.fromiter((xxh64_intdigest(w, seed) for w in set(words)), np.uint64) for words in _word_parts(text)]
-    words, shingles = np.unique(np.concatenate(own)), np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_parts(text, shingle, seed)]))
-    fps, sketch = [[_majority(o, len(x)) for o in _ones(_spread(x, k))] for x, k in ((words, WORDS), (shingles, SKETCH))]
-    return fps, np.array(sketch, "<u8").tobytes()
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of this similarity share one of the first so many elements of each, in any one order of all elements."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def bits_at(similarity: float, bits: int) -> float:
-    """Bits that SimHashes of two sets with this Jaccard similarity are expected to differ in.
+def parities(hashes: np.ndarray) -> bytes:
+    """How many hashes fall on each bit, modulo 2; a power of two of bits, about as many as hashes or more.
 
-    Equal-sized sets with Jaccard similarity j have the cosine 2j / (1 + j).
+    Sets that differ in d elements differ in at most d of these bits.
     """
-    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
 
+def least_difference(a: bytes, b: bytes) -> int:
+    """A bound from below of how many elements two sets differ in, by their parities; wide ones are folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, budget: int = 6) -> DataFrame:
-    """(doc_id, component_id): texts linked if their shingles' Jaccard similarity is ``similarity`` or more, by SimHash.
 
-    A fingerprint of shingles scatters too much at such a similarity for a small budget: each changed
-    word changes ``shingle`` shingles. So candidates are found by the trie join on fingerprints of the
-    distinct *words*, of which far fewer change, with two independent fingerprints to find what one misses;
-    a link then needs the SimHashes of the shingles, in 1,024 bits, to differ in no more bits than the similarity
-    lets expect, plus two standard deviations in favour of linking: texts of just that similarity are
-    linked in 98 of 100 cases, and some of a little less (a quarter of those at 0.7 to 0.75, hardly any below).
+def candidate_pairs(rows: np.ndarray, similarity: float, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of nodes that share a posting's hash and whose sizes and places allow the similarity.
+
+    Rows are sorted by hash and size; pairs of a row and the d-th after it are formed for d = 1, 2, ..., as long
+    as the hash is the same and the sizes are near enough.
     """
+    rows = rows[np.lexsort((rows["node"], rows["n"], rows["h"]))]
+    again = np.concatenate([[False], (rows["h"][1:] == rows["h"][:-1]) & (rows["node"][1:] == rows["node"][:-1])])
+    rows = rows[~again]  # exact copies
+    h, node, n, at = rows["h"], rows["node"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+    share = similarity / (1 + similarity)
+    live, d, held, parts = np.arange(len(rows)), 0, 0, []
+
+    def emit(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(np.concatenate(parts), axis=0)
+        return both[:, 0], both[:, 1]
+
+    while len(live):
+        d += 1
+        live = live[live + d < len(rows)]
+        other = live + d
+        near = (h[live] == h[other]) & (n[live] >= similarity * n[other] - 1e-6)
+        live, other = live[near], other[near]
+        # the first element that two sets share leaves no more in common than what follows it
+        fits = np.minimum(n[live] - at[live], n[other] - at[other]) >= share * (n[live] + n[other]) - 1e-6
+        i, j = node[live[fits]], node[other[fits]]
+        if len(i):
+            parts.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+            held += len(i)
+        if held >= chunk:
+            yield emit(parts)
+            held, parts = 0, []
+    if parts:
+        yield emit(parts)
+
+
+def _frequent(texts: DataFrame, shingle: int, seed: int, sample: int, least: int = 3, most: int = 100_000) -> np.ndarray:
+    """Hashes of shingles that recur in a sample of texts. They only come last in the order of prefixes: any set is right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [text_sketch(t.as_py() or b"", shingle, seed) for t in b.column(1).cast(pa.large_binary())]
-            cols = [pa.array(np.array([m[0][k] for m in made], np.uint64).view(np.int64)) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([m[1] for m in made], pa.binary())], names=["doc_id", *[f"f{k}" for k in range(WORDS)], "sketch"])
+            for t in b.column(0).cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(text_shingles(t.as_py() or b"", shingle, seed).view(np.int64))], names=["h"])
         trim()
 
-    names = [f"f{k}" for k in range(WORDS)]
-    found = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(found.mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, sketch binary"))
-    distinct = cut(found.where("doc_id IS NOT NULL").groupBy(*names, "sketch").agg(F.min("doc_id").alias("id")))
-    n = distinct.count()
-    mean = bits_at(similarity, BITS * SKETCH)
-    most = int(mean + 2 * math.sqrt(mean * (1 - mean / (BITS * SKETCH))))
-    edges = None
-    for x in names:
-        part = links(distinct.select(F.col(x).alias("fp"), "id", "sketch"), n, budget, most=most)
-        edges = part if edges is None else edges.union(part)
-    roots = star_components(edges)
-    merged = distinct.join(roots, distinct.id == roots.a, "left").select(*[F.col(x).alias(f"_{x}") for x in names], F.col("sketch").alias("_sketch"), F.coalesce("b", "id").alias("root"))
-    same = [F.col(x) == F.col(f"_{x}") for x in (*names, "sketch")]
-    joined = found.join(merged, same, "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    total = texts.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20)) + 1
+    rows = texts.where(draw).select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+    return np.sort(np.array([r.h for r in rows.orderBy(F.desc("count"), "h").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, sample: int = 4000, bucket_postings: int = 1 << 19, most_broadcast: int = 1_000_000) -> DataFrame:
+    """(doc_id, component_id): texts linked if the Jaccard similarity of their distinct shingles is ``similarity`` or more.
+
+    Exact, up to clashes of 64-bit hashes. Texts with one set of shingles are one node. Candidates share an element of
+    their prefixes (``prefix_length``) in the order (frequent in a sample, hash). Postings travel in buckets by hash, many in
+    a row; pairs whose parities differ in more bits than the similarity lets elements differ are dropped, and
+    the sets of what is left, made from the texts anew, decide.
+    """
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [text_shingles(t.as_py() or b"", shingle, seed) for t in b.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0),
+                b.column(2),
+                pa.array(np.array([set_node(s) for s in sets], np.uint64).view(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parities(s) for s in sets], pa.binary()),
+            ], names=["doc_id", "t", "node", "n", "parities"])
+        trim()
+
+    found = cut(texts.mapInArrow(nodes, "doc_id long, t long, node long, n long, parities binary"))
+    known = texts.where("doc_id IS NOT NULL")
+    frequent = _frequent(known, shingle, seed, sample)
+    postings = found.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+    buckets = 1 << max(4, math.ceil(math.log2(max(1, postings / bucket_postings))))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            bucket = np.concatenate([p[0] for p in parts])
+            rows = np.concatenate([p[1] for p in parts])
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows = bucket[order], rows[order]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            stops = np.append(starts[1:], len(bucket))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "rows"])
+
+        for b in batches:
+            for t in b.column(0).cast(pa.large_binary()):
+                s = text_shingles(t.as_py() or b"", shingle, seed)
+                if not len(s):
+                    continue
+                late = np.isin(s, frequent)
+                first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), similarity)]
+                rows = np.empty(len(first), POSTING)
+                rows["h"], rows["node"], rows["n"] = (first >> np.uint64(32)).astype(np.uint32), set_node(s), len(s)
+                rows["at"] = np.minimum(np.arange(len(first)), 65535)
+                parts.append(((first & np.uint64(buckets - 1)).astype(np.int64), rows))
+                held += len(first)
+                if held >= 1 << 20:
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
+        parts = []
+        trim()
+
+    def pair(key: tuple, table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("rows")])
+        made = list(candidate_pairs(rows, similarity))
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *[m[k] for m in made]]).view(np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sizes = [c.to_numpy() for c in (x.column("na"), x.column("nb"))]
+            most = (sizes[0] + sizes[1]) * (1 - similarity) / (1 + similarity) + 1e-6
+            apart = np.array([least_difference(p.as_py(), q.as_py()) for p, q in zip(x.column("pa"), x.column("pb"))])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(apart <= most)) for c in (x.column("a"), x.column("b"))], names=["a", "b"])
+        trim()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [text_shingles(t.as_py() or b"", shingle, seed) for t in b.column(0).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_node(s) for s in made], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "hashes"])
+        trim()
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for p, q in zip(x.column("pa"), x.column("pb")):
+                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (x.column("a"), x.column("b"))], names=["a", "b"])
+        trim()
+
+    pairs = known.select("text").mapInArrow(post, "bucket int, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
+    one = cut(found.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("parities").alias("parities")))
+    end = lambda x: one.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}"))
+    left = cut(pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(possible, "a long, b long"))
+    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(one.join(ends, "node", "left_semi").select("t").distinct())
+    chosen = known.join(F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted, "t", "left_semi").select("t", "text")
+    whole = cut(chosen.select("text").mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    end = lambda x: whole.select(F.col("node").alias(x), F.col("hashes").alias(f"p{x}"))
+    roots = star_components(left.join(end("a"), "a").join(end("b"), "b").select("a", "b", "pa", "pb").mapInArrow(alike, "a long, b long"))
+    merged = one.join(roots, one.node == roots.a, "left").select("node", "id", F.coalesce("b", "node").alias("root"))
+    least = merged.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.join(merged.join(least, "root").select("node", "component_id"), "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

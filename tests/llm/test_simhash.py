@@ -202,3 +202,32 @@ def test_similar_links_what_is_similar(spark):
     assert got[20000] == got[20001] == 20000 and got[20002] == 20002
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.similar(spark.createDataFrame([(None, "a b c")] * 2, "doc_id long, text string")).where("component_id IS NULL").count() == 2
+
+
+def test_similar_finds_blocks_truncations_and_all_pairs_at_the_threshold(spark):
+    rng = random.Random(21)
+    rows, bases = [], 70
+    for g in range(bases):
+        base = [f"w{int(rng.paretovariate(0.6)) % 4000}g{rng.randrange(40)}" for _ in range(rng.randint(30, 400))]
+        rows.append((10 * g, base))
+        block = [f"b{g}x{k}" for k in range(len(base))]
+        n = len(base)
+        for k, share in enumerate((0.08, 0.12, 0.16, 0.19, 0.21), 1):
+            m, at = max(1, int(share * n)), rng.randrange(n)
+            kind = (g + k) % 4
+            rows.append((10 * g + k, base + block[:m] if kind == 0 else base[: n - m] if kind == 1 else base[:at] + block[:m] + base[at:] if kind == 2 else [w if rng.random() > share / 7 else block[i] for i, w in enumerate(base)]))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    near = lambda a, b: jaccard(a[1], b[1]) >= 0.8
+    edge = [jaccard(a[1], b[1]) for a, b in zip(rows, rows[1:])]
+    assert sum(0.8 <= j < 0.85 for j in edge) > 10
+    want = plain_components_of(rows, near)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: rows[w][0] for (i, _), w in zip(rows, want)}
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 900), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64)]))
+        assert simhash.least_difference(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
