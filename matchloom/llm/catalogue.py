@@ -23,7 +23,7 @@ def gpt_tokens():
     """The byte-level BPE of 50k ids, from the box's vocabulary files."""
     import public_tokenizers as P
 
-    return packing.rank_tokenizer(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    return packing.rank_tokenizer(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, packing.added_tokens(str(P.path("byte_bpe_50k.json"))))
 
 
 def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

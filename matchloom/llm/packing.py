@@ -10,7 +10,7 @@ Each task packs the rows of its own partition, some ``flush_tokens`` ids at a ti
 shuffled and memory is bounded; a task that is run again gives the same sequences.
 
 Defined results: a null or empty text is the end id alone; ids of documents may be null or
-repeat, each row is packed by itself; special tokens' strings in a text are ordinary text; an
+repeat, each row is packed by itself; special tokens' strings in a text are what ``encode`` makes of them; an
 empty table gives no rows. Other columns are not read.
 """
 
@@ -30,8 +30,26 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 SAFE = 1 << 16
 
 
-def rank_tokenizer(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Token ids of a text from a file of byte-pair ranks (base64 and rank on each line)."""
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file and their ids; only plain ones, which take nothing around them."""
+    import json
+
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens with rules for what stands around them")
+    return {t["content"]: t["id"] for t in found}
+
+
+def rank_tokenizer(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], np.ndarray]:
+    """Token ids of a text from a file of byte-pair ranks (base64 and rank on each line).
+
+    Strings of ``added`` in a text become their ids, and what stands between them is encoded by itself.
+    """
+    import re
+
+    added = added or {}
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def make():
         import tiktoken
@@ -41,6 +59,11 @@ def rank_tokenizer(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if cuts is not None and len(parts := cuts.split(text)) > 1:
+            return np.concatenate([np.array([added[x]], np.uint32) if k % 2 else plain(x) for k, x in enumerate(parts)])
+        return plain(text)
+
+    def plain(text: str) -> np.ndarray:
         enc = cached(f"ranks:{ranks_path}", make)
         if len(text) <= SAFE:
             return enc.encode_to_numpy(text, disallowed_special=())

@@ -120,3 +120,13 @@ def test_repeated_rows_null_ids_and_empty(spark, encode):
     got = packing.pack(df, encode).collect()
     assert sum(p.length for p in got) == 3 + 3 + 2
     assert packing.pack(df.limit(0), encode).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n\n x", "<|endoftext|" + "x y " * 40000 + "<|endoftext|>it's"])
+def test_query_ids_equal_the_tokenizers_with_added_tokens(text):
+    from tokenizers import Tokenizer
+
+    from matchloom.llm.catalogue import gpt_tokens
+
+    t = Tokenizer.from_file(str(TOKENIZERS.path("byte_bpe_50k.json")))
+    assert gpt_tokens()(text).tolist() == t.encode(text, add_special_tokens=False).ids
