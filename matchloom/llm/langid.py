@@ -17,13 +17,14 @@ carried by ``annotate`` untouched and renamed never.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from matchloom.llm._common import cached, cut, small_batches, trim
 
@@ -117,26 +118,26 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     fit_rows: int = 2400,
-    most_languages: int = 200,
     clusters: int = 4,
+    fewest: int = 8,
     slack: float = 0.25,
 ) -> LanguageModel:
     """Learn from the rows of ``docs`` that have a language.
 
-    ``fit_rows`` bounds the expected size of the sample for the centroids, over all languages; the
-    most frequent ``most_languages`` languages are learned. A text is rejected if its cosine
+    ``fit_rows`` bounds the expected size of the sample for the centroids, over all languages, but for
+    ``fewest`` texts of each language (all, if it has no more); every language is learned. A text is rejected if its cosine
     is below ``slack`` times the least that any text of the sample has with its own language.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, int), 0.0)
     languages = sorted(sizes)
     each = fit_rows / len(languages)
+    # four times the fewest expected, so that a draw leaves hardly any language without
+    rates = {lang: min(1.0, max(each, 4 * fewest) / n) for lang, n in sizes.items()}
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    rate: Column = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
+    rate = F.element_at(F.from_json(F.lit(json.dumps(rates)), "map<string,double>"), F.col("lang"))
     kept = rows.select("text", F.when(draw < rate, F.col("lang")).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +164,17 @@ def fit(
         df[dim] = n
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
     sample = found.where("lang IS NOT NULL").collect()
-    tf = np.zeros((len(sample), DIM), np.float32)
-    for k, r in enumerate(sample):
-        tf[k, r["dims"]] = r["tf"]
-    own = np.array([languages.index(r["lang"]) for r in sample], int)
-    x = weigh(tf, idf.astype(np.float32))
+    by_language: dict[str, list] = {}
+    for r in sample:
+        by_language.setdefault(r["lang"], []).append(r)
     centroids, owner, least = [], [], 1.0
-    for k in range(len(languages)):
-        mine = x[own == k]
-        if len(mine):
+    for k, lang in enumerate(languages):
+        own = by_language.get(lang, [])
+        tf = np.zeros((len(own), DIM), np.float32)
+        for row, r in enumerate(own):
+            tf[row, r["dims"]] = r["tf"]
+        if len(own):
+            mine = weigh(tf, idf.astype(np.float32))
             c = _cluster(mine, clusters)
             least = min(least, float((mine @ c.T).max(1).min()))
             centroids.append(c)

@@ -70,3 +70,17 @@ def test_nothing_to_learn(spark):
     found = langid.annotate(df, model).first()["language"]
     assert found.lang_pred == "und" and not found.rejected
     assert langid.fit(df.limit(0)).languages == []
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(230):
+        syllables = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(4)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(syllables, k=2)) for _ in range(30)), f"l{k:03}") for i in range(4 if k < 225 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted({r[2] for r in rows}) and set(model.owner) == set(range(230))
+    got = langid.annotate(df, model).select("lang", "language.*").collect()
+    assert all(r.lang_pred == r.lang for r in got)
