@@ -32,6 +32,7 @@ DIM_BITS = 13
 DIM = 1 << DIM_BITS
 PIECE = 1 << 16  # characters handled at a time
 UNKNOWN = "und"
+FULL = 512  # grams from which a text's cosine no longer suffers from its length
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class LanguageModel:
     idf: np.ndarray  # (DIM,)
     centroids: np.ndarray  # (n, DIM), rows of length one
     owner: np.ndarray  # (n,) index into languages
-    least: float  # cosine below which a text is rejected
+    least: np.ndarray  # (languages,) cosine below which a text of FULL grams or more is rejected
 
 
 def _grams(code: np.ndarray) -> np.ndarray:
@@ -97,6 +98,21 @@ def weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
+def _length_factor(grams: np.ndarray) -> np.ndarray:
+    """What a text of so few grams can be expected to reach of a long text's cosine."""
+    return np.sqrt(np.minimum(1, grams / FULL))
+
+
+def _low(x: np.ndarray, grams: np.ndarray, clusters: int, low: float) -> float:
+    """A low quantile of cosines with centroids fitted without the text, each set against its length."""
+    own = []
+    for part in (0, 1):
+        held = np.arange(len(x)) % 2 == part
+        if held.any() and (~held).any():
+            own.append((x[held] @ _cluster(x[~held], clusters).T).max(1) / _length_factor(grams[held]))
+    return float(np.quantile(np.concatenate(own), low)) if own else 0.0
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from the farthest-first rows."""
     chosen = [int(np.argmax(x @ x.mean(0)))]
@@ -120,18 +136,20 @@ def fit(
     fit_rows: int = 2400,
     clusters: int = 4,
     fewest: int = 8,
-    slack: float = 0.25,
+    slack: float = 0.6,
+    low: float = 0.02,
 ) -> LanguageModel:
     """Learn from the rows of ``docs`` that have a language.
 
     ``fit_rows`` bounds the expected size of the sample for the centroids, over all languages, but for
-    ``fewest`` texts of each language (all, if it has no more); every language is learned. A text is rejected if its cosine
-    is below ``slack`` times the least that any text of the sample has with its own language.
+    ``fewest`` texts of each language (all, if it has no more); every language is learned. A text is rejected if its
+    cosine is below ``slack`` times the ``low`` quantile that held-out texts of the sample have with their own
+    language, both in proportion to ``_length_factor``. A language with one text rejects nothing.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, int), 0.0)
+        return LanguageModel([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, int), np.zeros(0))
     languages = sorted(sizes)
     each = fit_rows / len(languages)
     # four times the fewest expected, so that a draw leaves hardly any language without
@@ -167,7 +185,7 @@ def fit(
     by_language: dict[str, list] = {}
     for r in sample:
         by_language.setdefault(r["lang"], []).append(r)
-    centroids, owner, least = [], [], 1.0
+    centroids, owner, least = [], [], np.zeros(len(languages))
     for k, lang in enumerate(languages):
         own = by_language.get(lang, [])
         tf = np.zeros((len(own), DIM), np.float32)
@@ -176,12 +194,12 @@ def fit(
         if len(own):
             mine = weigh(tf, idf.astype(np.float32))
             c = _cluster(mine, clusters)
-            least = min(least, float((mine @ c.T).max(1).min()))
+            least[k] = slack * _low(mine, tf.sum(1), clusters, low)
             centroids.append(c)
             owner += [k] * len(c)
     if not centroids:
-        return LanguageModel([], idf, np.zeros((0, DIM)), np.zeros(0, int), 0.0)
-    return LanguageModel(languages, idf.astype(np.float32), np.concatenate(centroids).astype(np.float32), np.array(owner), slack * least)
+        return LanguageModel([], idf, np.zeros((0, DIM)), np.zeros(0, int), np.zeros(0))
+    return LanguageModel(languages, idf.astype(np.float32), np.concatenate(centroids).astype(np.float32), np.array(owner), least)
 
 
 def predictor(model: LanguageModel):
@@ -204,7 +222,7 @@ def predictor(model: LanguageModel):
                     for k, b in zip(known, best):
                         lang[k] = model.languages[model.owner[b]]
                     score[known] = np.clip(top, 0, 1)
-                    rejected[known] = top < model.least
+                    rejected[known] = top < model.least[model.owner[best]] * _length_factor(np.array([tf[k].sum() for k in known]))
                 out.append(pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected}))
             yield pd.concat(out) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "rejected": pd.Series([], dtype=bool)})
         trim()

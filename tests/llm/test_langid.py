@@ -84,3 +84,19 @@ def test_every_language_is_learned(spark):
     assert model.languages == sorted({r[2] for r in rows}) and set(model.owner) == set(range(230))
     got = langid.annotate(df, model).select("lang", "language.*").collect()
     assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_gibberish_and_unlearned_languages_are_rejected(spark, sf_dir):
+    import base64
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(1)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    odd = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 200, 1000)]
+    odd += [base64.b64encode(rng.randbytes(n)).decode() for n in (100, 800, 4000)] + [polish, polish * 20]
+    good = ["The house is on the hill.", "Der Hund und die Katze.", "Le chat est sur la table."]
+    df = spark.createDataFrame(list(enumerate(odd + good)), "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in langid.annotate(df, model).select("doc_id", "language.rejected").collect()}
+    assert [i for i in range(len(odd)) if not got[i]] == []
+    assert [t for i, t in enumerate(good, len(odd)) if got[i]] == []
