@@ -2,7 +2,7 @@
 
 ``fingerprints`` gives every text a 64-bit SimHash of its word shingles; ``components`` links
 fingerprints that differ in at most ``budget`` bits and labels each document with the smallest
-document id that it reaches through links. ``similar`` links texts by similarity instead: see there.
+document id that it reaches through links. ``neardup`` links texts by similarity, beginning with these links.
 
 How the join is dealt out. Of m disjoint bit blocks, two fingerprints within the budget agree on at least
 m - budget whole blocks. So for each choice of that many blocks every distinct fingerprint is sent
@@ -17,8 +17,8 @@ in one component already are skipped, which loses no connection.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; a text of
 fewer words than a shingle has one shingle of them all; rows with a null document id have
-their fingerprint and a null component, and link nothing; repeated rows share a component, and
-an id that comes with several texts may link those; an empty table gives no rows. Other columns are
+their fingerprint and a null component, and link nothing; repeated rows share a component; the texts of
+an id that comes with several link only by their fingerprints; an empty table gives no rows. Other columns are
 not read, whatever their names.
 """
 
@@ -103,16 +103,17 @@ def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit SimHash of every row's whole text."""
+    """(doc_id, text_hash, fp): the signed 64-bit SimHash of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
+            texts = b.column(2).cast(pa.large_binary())
             fps = np.fromiter((text_fingerprint(t.as_py() or b"", shingle, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
         trim()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -160,11 +161,10 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_join(keys: np.ndarray, depth: int, budget: int, chunk: int = 1 << 18, leaf: int = 32, sketches: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+def trie_join(keys: np.ndarray, depth: int, budget: int, chunk: int = 1 << 18, leaf: int = 32) -> np.ndarray:
     """Component label (index of its first key) of each of the sorted ``keys``.
 
-    Keys link if their first ``depth`` bits agree, at most ``budget`` of the others differ and, with
-    ``sketches`` (rows of 64-bit words), at most ``most`` bits of their sketches.
+    Keys link if their first ``depth`` bits agree and at most ``budget`` of the others differ.
     """
     n = len(keys)
     label = np.arange(n)
@@ -207,9 +207,6 @@ def trie_join(keys: np.ndarray, depth: int, budget: int, chunk: int = 1 << 18, l
             j = np.repeat(y0, each) + k % np.repeat(ny, each)
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
             i, j = i[near], j[near]
-            if sketches is not None:
-                near = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1) <= most
-                i, j = i[near], j[near]
             label = _settle(label, i, j)
             a0, a1, b0, b1, d = pairs[:, ~small]
         if not len(a0):
@@ -229,11 +226,10 @@ def trie_join(keys: np.ndarray, depth: int, budget: int, chunk: int = 1 << 18, l
     return label
 
 
-def links(distinct: DataFrame, n: int, budget: int = 4, slot_rows: int = 8192, cell_rows: int = 32768, most: int = 0, most_broadcast: int = 100_000) -> DataFrame:
+def links(distinct: DataFrame, n: int, budget: int = 4, slot_rows: int = 8192, cell_rows: int = 32768, most_broadcast: int = 100_000) -> DataFrame:
     """Edges (a, b), a > b, of a forest that connects what lies within the budget.
 
-    ``distinct``: n rows (fp, id) or (fp, id, sketch binary), each once; with sketches, links also need at most
-    ``most`` differing bits of them. A slot is a prefix's first bits; one of over ``cell_rows`` rows is salted.
+    ``distinct``: n rows (fp, id), each once. A slot is a prefix's first bits; one of over ``cell_rows`` rows is salted.
     """
     ways = prefixes(n, budget, slot_rows)
     bits = max(0, min(min(w for _, w in ways), math.ceil(math.log2(max(1, n / slot_rows)))))
@@ -255,10 +251,7 @@ def links(distinct: DataFrame, n: int, budget: int = 4, slot_rows: int = 8192, c
         keys, ids = pdf["key"].to_numpy().view(np.uint64), pdf["id"].to_numpy()
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
-        sketches = None
-        if "sketch" in pdf:
-            sketches = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)[order]
-        label = trie_join(keys, depths[key[0]], budget, sketches=sketches, most=most)
+        label = trie_join(keys, depths[key[0]], budget)
         child = np.flatnonzero(label != np.arange(len(label)))
         a, b = ids[child], ids[label[child]]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -266,10 +259,22 @@ def links(distinct: DataFrame, n: int, budget: int = 4, slot_rows: int = 8192, c
     return dealt.groupBy("way", "slot", "s", "t").applyInPandas(forest, "a long, b long")
 
 
-def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: (node, smallest node of its component)."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        both = np.concatenate([np.concatenate([h[k] for h in held]) for k in (0, 1)])
+        nodes, at = np.unique(both, return_inverse=True)
+        label = _settle(np.arange(len(nodes)), at[: len(at) // 2], at[len(at) // 2 :])
+        child = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[label[child]])], names=["a", "b"])
+
+
+def star_components(edges: DataFrame, most_rounds: int = 60, part_edges: int = 1 << 20) -> DataFrame:
     """(a, b): b is the smallest node that a reaches; nodes that are their own smallest are absent.
 
-    Large-star and small-star steps in turn; minima are aggregated before rows are joined to
+    Edges are dealt to parts of at most about ``part_edges``, and each part becomes stars by union-find. What
+    several parts leave settles by large-star and small-star steps in turn; minima are aggregated before rows are joined to
     them, so that a hub's neighbours are never gathered in one task. They are written before they are
     joined: then both sides of the join have a shuffle of their own, whose skewed partitions Spark can split.
     """
@@ -277,7 +282,12 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    parts = max(1, math.ceil(edges.count() / part_edges))
+    stars = cut(edges.repartition(parts).mapInArrow(_contract, "a long, b long"))
+    if parts == 1:
+        return stars
+    now = stars.distinct()
     before = state(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -295,226 +305,39 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, text_hash, fp, root, component_id) for every row of ``docs``; root names a component by one of its fingerprints."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = links(distinct, distinct.count(), budget)
-    roots = star_components(edges)
-    merged = distinct.join(roots, distinct.id == roots.a, "left").select(F.col("fp").alias("f"), F.coalesce("b", "id").alias("root"))
-    return fps.join(merged, fps.fp == merged.f, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    distinct = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fp")))
+    roots = star_components(links(distinct.select("fp", "id"), distinct.count(), budget))
+    merged = distinct.join(roots, distinct.id == roots.a, "left").select(F.col("fp").alias("f"), "least", F.coalesce("b", "id").alias("root"))
+    first = merged.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = merged.select("f", "root").join(first, "root")
+    known = F.col("doc_id").isNotNull()
+    return fps.join(labels, fps.fp == labels.f, "left").select("doc_id", "text_hash", "fp", F.when(known, F.col("root")).alias("root"), F.when(known, F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, fingerprint, component_id); the fingerprint as 16 hexadecimal digits."""
-    return components(docs, id_col, text_col, **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-POSTING = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4"), ("at", "<u2")])
-
-
-def text_shingles(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_parts(text, shingle, seed)]))
-
-
-def set_node(hashes: np.ndarray) -> int:
-    """A set's name: the hash of its sorted hashes."""
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(hashes.astype("<u8").tobytes(), 1)
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """Two sets of this similarity share one of the first so many elements of each, in any one order of all elements."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """How many hashes fall on each bit, modulo 2; a power of two of bits, about as many as hashes or more.
-
-    Sets that differ in d elements differ in at most d of these bits.
-    """
-    width = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
-    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A bound from below of how many elements two sets differ in, by their parities; wide ones are folded."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def candidate_pairs(rows: np.ndarray, similarity: float, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a, b), a < b, of nodes that share a posting's hash and whose sizes and places allow the similarity.
-
-    Rows are sorted by hash and size; pairs of a row and the d-th after it are formed for d = 1, 2, ..., as long
-    as the hash is the same and the sizes are near enough.
-    """
-    rows = rows[np.lexsort((rows["node"], rows["n"], rows["h"]))]
-    again = np.concatenate([[False], (rows["h"][1:] == rows["h"][:-1]) & (rows["node"][1:] == rows["node"][:-1])])
-    rows = rows[~again]  # exact copies
-    h, node, n, at = rows["h"], rows["node"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
-    share = similarity / (1 + similarity)
-    live, d, held, parts = np.arange(len(rows)), 0, 0, []
-
-    def emit(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        both = np.unique(np.concatenate(parts), axis=0)
-        return both[:, 0], both[:, 1]
-
-    while len(live):
-        d += 1
-        live = live[live + d < len(rows)]
-        other = live + d
-        near = (h[live] == h[other]) & (n[live] >= similarity * n[other] - 1e-6)
-        live, other = live[near], other[near]
-        # the first element that two sets share leaves no more in common than what follows it
-        fits = np.minimum(n[live] - at[live], n[other] - at[other]) >= share * (n[live] + n[other]) - 1e-6
-        i, j = node[live[fits]], node[other[fits]]
-        if len(i):
-            parts.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
-            held += len(i)
-        if held >= chunk:
-            yield emit(parts)
-            held, parts = 0, []
-    if parts:
-        yield emit(parts)
-
-
-def _frequent(texts: DataFrame, shingle: int, seed: int, sample: int, least: int = 3, most: int = 100_000) -> np.ndarray:
-    """Hashes of shingles that recur in a sample of texts. They only come last in the order of prefixes: any set is right."""
+    """(doc_id, fingerprint, component_id, root, text_hash); the fingerprint as 16 hexadecimal digits."""
+    return components(docs, id_col, text_col, **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_hash")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).cast(pa.large_binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(text_shingles(t.as_py() or b"", shingle, seed).view(np.int64))], names=["h"])
-        trim()
-
-    total = texts.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20)) + 1
-    rows = texts.where(draw).select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
-    return np.sort(np.array([r.h for r in rows.orderBy(F.desc("count"), "h").limit(most).collect()], np.int64).view(np.uint64))
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, sample: int = 4000, bucket_postings: int = 1 << 19, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, component_id): texts linked if the Jaccard similarity of their distinct shingles is ``similarity`` or more.
-
-    Exact, up to clashes of 64-bit hashes. Texts with one set of shingles are one node. Candidates share an element of
-    their prefixes (``prefix_length``) in the order (frequent in a sample, hash). Postings travel in buckets by hash, many in
-    a row; pairs whose parities differ in more bits than the similarity lets elements differ are dropped, and
-    the sets of what is left, made from the texts anew, decide.
-    """
-    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [text_shingles(t.as_py() or b"", shingle, seed) for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0),
-                b.column(2),
-                pa.array(np.array([set_node(s) for s in sets], np.uint64).view(np.int64)),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([parities(s) for s in sets], pa.binary()),
-            ], names=["doc_id", "t", "node", "n", "parities"])
-        trim()
-
-    found = cut(texts.mapInArrow(nodes, "doc_id long, t long, node long, n long, parities binary"))
-    known = texts.where("doc_id IS NOT NULL")
-    frequent = _frequent(known, shingle, seed, sample)
-    postings = found.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
-    buckets = 1 << max(4, math.ceil(math.log2(max(1, postings / bucket_postings))))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-
-        def flush() -> pa.RecordBatch:
-            bucket = np.concatenate([p[0] for p in parts])
-            rows = np.concatenate([p[1] for p in parts])
-            order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], rows[order]
-            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            stops = np.append(starts[1:], len(bucket))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())], names=["bucket", "rows"])
-
-        for b in batches:
-            for t in b.column(0).cast(pa.large_binary()):
-                s = text_shingles(t.as_py() or b"", shingle, seed)
-                if not len(s):
-                    continue
-                late = np.isin(s, frequent)
-                first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), similarity)]
-                rows = np.empty(len(first), POSTING)
-                rows["h"], rows["node"], rows["n"] = (first >> np.uint64(32)).astype(np.uint32), set_node(s), len(s)
-                rows["at"] = np.minimum(np.arange(len(first)), 65535)
-                parts.append(((first & np.uint64(buckets - 1)).astype(np.int64), rows))
-                held += len(first)
-                if held >= 1 << 20:
-                    yield flush()
-                    parts, held = [], 0
-        if parts:
-            yield flush()
-        parts = []
-        trim()
-
-    def pair(key: tuple, table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("rows")])
-        made = list(candidate_pairs(rows, similarity))
-        a, b = (np.concatenate([np.zeros(0, np.uint64), *[m[k] for m in made]]).view(np.int64) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            sizes = [c.to_numpy() for c in (x.column("na"), x.column("nb"))]
-            most = (sizes[0] + sizes[1]) * (1 - similarity) / (1 + similarity) + 1e-6
-            apart = np.array([least_difference(p.as_py(), q.as_py()) for p, q in zip(x.column("pa"), x.column("pb"))])
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(apart <= most)) for c in (x.column("a"), x.column("b"))], names=["a", "b"])
-        trim()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [text_shingles(t.as_py() or b"", shingle, seed) for t in b.column(0).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_node(s) for s in made], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "hashes"])
-        trim()
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column("pa"), x.column("pb")):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (x.column("a"), x.column("b"))], names=["a", "b"])
-        trim()
+def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (doc_id, text_hash, root): the least by id, then hash of the text.
 
-    pairs = known.select("text").mapInArrow(post, "bucket int, rows binary").groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
-    one = cut(found.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("parities").alias("parities")))
-    end = lambda x: one.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}"))
-    left = cut(pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(possible, "a long, b long"))
-    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(one.join(ends, "node", "left_semi").select("t").distinct())
-    chosen = known.join(F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted, "t", "left_semi").select("t", "text")
-    whole = cut(chosen.select("text").mapInArrow(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    end = lambda x: whole.select(F.col("node").alias(x), F.col("hashes").alias(f"p{x}"))
-    roots = star_components(left.join(end("a"), "a").join(end("b"), "b").select("a", "b", "pa", "pb").mapInArrow(alike, "a long, b long"))
-    merged = one.join(roots, one.node == roots.a, "left").select("node", "id", F.coalesce("b", "node").alias("root"))
-    least = merged.groupBy("root").agg(F.min("id").alias("component_id"))
-    return found.join(merged.join(least, "root").select("node", "component_id"), "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component of ``found`` (doc_id, component_id): the one with its smallest id.
-
-    Rows with a null id stay. Of rows that repeat an id one stays.
+    Rows with a null id stay. Of rows that repeat an id and a text one stays, the least of them written
+    as JSON; an id that comes with several texts is a document for each of them.
     """
-    (gone,) = fresh(docs, "gone")
-    out = cut(found.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct())
-    kept = docs.join(out, docs[id_col] == F.col(gone), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    if repeated:
-        with_id = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = with_id.unionByName(kept.where(F.col(id_col).isNull()))
+    i, t = fresh(docs, "i", "t")
+    rows = cut(found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "text_hash").count())
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    placed = cut(rows.join(least, "root").select("doc_id", "text_hash", "count", (F.struct("doc_id", "text_hash") == F.col("least")).alias("stays")))
+    key = placed.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), "count", "stays")
+    at = (docs[id_col].cast("long") == F.col(i)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(t))
+    kept = docs.join(key.where("NOT stays OR count > 1").select(i, t), at, "left_anti")
+    again = key.where("stays AND count > 1").select(i, t)
+    if again.limit(1).count():
+        (whole,) = fresh(docs, "whole")
+        row = F.struct(*[docs[c] for c in docs.columns])
+        once = docs.join(again, at).groupBy(i, t).agg(F.min_by(row, F.to_json(row)).alias(whole)).select(f"{whole}.*")
+        kept = kept.unionByName(once)
     return kept

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchloom.llm import catalogue, langid, mixing, packing, pii, simhash
+from matchloom.llm import catalogue, langid, mixing, neardup, packing, pii, simhash
 from matchloom.llm._common import cut
 
 
@@ -26,7 +26,7 @@ def test_decisions_take_effect(spark):
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {101, 102}
     one = corpus_pipeline.drop_near_duplicates(spark, kept, "")
-    found = simhash.similar(kept)
+    found = neardup.similar(kept)
     assert sorted(r.doc_id for r in one.collect()) == sorted(r.component_id for r in found.select("component_id").distinct().collect())
     clean = corpus_pipeline.redact_personal_data(spark, docs, "").where("doc_id = 103").first()
     assert "<EMAIL>" in clean.text and "someone@" not in clean.text and clean.n_chars == len(clean.text)
@@ -126,7 +126,7 @@ def test_run_equals_the_stages_by_hand(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(docs)
     rows = langid.annotate(docs, model).where("NOT language.rejected").drop("language")
-    rows = simhash.representatives(rows, simhash.similar(rows))
+    rows = simhash.representatives(rows, neardup.similar(rows))
     rows = pii.redact(rows, pii.fit(rows))
     want = mixing.mixed_documents(rows).collect()
     encode = catalogue.gpt_tokens()

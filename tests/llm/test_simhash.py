@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matchloom.llm import simhash
+from matchloom.llm import neardup, simhash
 
 
 def plain_fingerprint(text, shingle=4, seed=42):
@@ -101,7 +101,7 @@ def fixture(spark):
 def test_components_match_brute_force(spark, monkeypatch, cell_rows):
     rows, df = fixture(spark)
     links = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda d, n, budget, most=0: links(d, n, budget, 8, cell_rows, most))
+    monkeypatch.setattr(simhash, "links", lambda d, n, budget: links(d, n, budget, 8, cell_rows))
     got = simhash.near_duplicates(df).collect()
     known = [(i, t) for i, t in rows if i is not None]
     fps = [plain_fingerprint(t) for _, t in known]
@@ -127,13 +127,14 @@ def test_representatives_keep_one_of_each_group(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
-    assert simhash.representatives(df, simhash.similar(df)).count() == 0
+    assert simhash.representatives(df, neardup.similar(df)).count() == 0
 
 
-def test_star_components_on_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("part_edges", [1 << 20, 40])
+def test_star_components_on_a_long_chain_and_a_hub(spark, part_edges):
     chain = [(i + 1, i) for i in range(60)]
     hub = [(1000 + i, 999) for i in range(200)]
-    got = {r.a: r.b for r in simhash.star_components(spark.createDataFrame(chain + hub, "a long, b long")).collect()}
+    got = {r.a: r.b for r in simhash.star_components(spark.createDataFrame(chain + hub, "a long, b long"), part_edges=part_edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {1000 + i: 999 for i in range(200)}
     assert simhash.star_components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).count() == 0
 
@@ -191,7 +192,7 @@ def test_similar_links_what_is_similar(spark):
             rows.append((doc, " ".join(copy), g))
         doc += 1
     rows += [(10000 + i, "a b c", -1) for i in range(30)] + [(20000, None, -2), (20001, "  ", -2), (20002, "quite another text", -3)]
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string, sketch int")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.similar(spark.createDataFrame(rows, "doc_id long, text string, sketch int")).collect()}
     assert len(got) == len(rows)
     by_id = {i: (t or "", g) for i, t, g in rows}
     near = [(a, b) for a in by_id for b in by_id if a < b and by_id[a][1] == by_id[b][1] and jaccard(by_id[a][0], by_id[b][0]) >= 0.8]
@@ -200,8 +201,8 @@ def test_similar_links_what_is_similar(spark):
     for i, c in got.items():
         assert by_id[i][1] == by_id[c][1]  # never two unrelated texts
     assert got[20000] == got[20001] == 20000 and got[20002] == 20002
-    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert simhash.similar(spark.createDataFrame([(None, "a b c")] * 2, "doc_id long, text string")).where("component_id IS NULL").count() == 2
+    assert neardup.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert neardup.similar(spark.createDataFrame([(None, "a b c")] * 2, "doc_id long, text string")).where("component_id IS NULL").count() == 2
 
 
 def test_similar_finds_blocks_truncations_and_all_pairs_at_the_threshold(spark):
@@ -221,7 +222,7 @@ def test_similar_finds_blocks_truncations_and_all_pairs_at_the_threshold(spark):
     edge = [jaccard(a[1], b[1]) for a, b in zip(rows, rows[1:])]
     assert sum(0.8 <= j < 0.85 for j in edge) > 10
     want = plain_components_of(rows, near)
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: rows[w][0] for (i, _), w in zip(rows, want)}
 
 
@@ -230,4 +231,44 @@ def test_parities_bound_the_difference():
     for _ in range(100):
         x = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 900), dtype=np.uint64))
         y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64)]))
-        assert simhash.least_difference(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
+        assert neardup.least_difference(neardup.parities(x), neardup.parities(y)) <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize(("windows", "cell_rows", "sample"), [((1, 2), 24, 4000), ((2,), 1 << 18, 1)])
+def test_similar_matches_brute_force_on_large_groups(spark, windows, cell_rows, sample):
+    """Large groups of near copies, some of them near to only a few others, beside texts that share a passage."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(70):  # a block differs: near to the base, and half of them to few others
+        own, at = list(base), rng.randrange(100)
+        own[at : at + (8 if k % 2 else 3)] = [f"x{k}y{j}" for j in range(8 if k % 2 else 3)]
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(base[:25] + [f"z{k}q{j}" for j in range(rng.randint(4, 20))])) for k in range(40)]
+    rows += [(200 + k, " ".join(base[:30])) for k in range(5)] + [(300, ""), (301, None), (302, " ".join(base))]
+    want = plain_components_of(rows, lambda a, b: jaccard(a[1] or "", b[1] or "") >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.similar(df, windows=windows, cell_rows=cell_rows, sample=sample).collect()}
+    assert got == {i: rows[w][0] for (i, _), w in zip(rows, want)}
+    assert 5 < len(set(got.values())) < len(rows) - 60
+
+
+def test_across_gives_every_pair_of_different_components():
+    rng = np.random.default_rng(2)
+    rows = np.zeros(60, neardup.POSTING)
+    rows["h"], rows["node"], rows["n"] = rng.integers(0, 3, 60), np.arange(60), rng.integers(50, 70, 60)
+    rows, starts, stops = neardup._ordered(rows)
+    comp, side = rng.integers(0, 4, 60), rng.integers(0, 2, 60)
+    for sides in (None, side):
+        got = np.concatenate(list(neardup.across(rows, starts, stops, comp, 0.8, sides, chunk=7))).tolist()
+        want = {(min(a, b), max(a, b)) for i, a in enumerate(rows["node"].tolist()) for j, b in enumerate(rows["node"].tolist()) if rows["h"][i] == rows["h"][j] and comp[i] != comp[j] and (sides is None or side[i] != side[j]) and min(rows["n"][i], rows["n"][j]) >= 0.8 * max(rows["n"][i], rows["n"][j])}
+        assert {tuple(p) for p in got} == want
+
+
+def test_an_id_with_several_texts_is_a_document_for_each(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "u"), (1, b, "v"), (2, a, "w"), (3, c, "x"), (1, b, "t"), (1, b, None), (None, c, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, i string")
+    for found in (neardup.similar(df), simhash.near_duplicates(df)):
+        kept = sorted(map(tuple, simhash.representatives(df, found).collect()), key=str)
+        assert kept == sorted([(1, a, "u"), (1, b, "t"), (3, c, "x"), (None, c, "n")], key=str)
