@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchloom.llm import langid, mixing, packing, pii, simhash
+from matchloom.llm import langid, mixing, neardup, packing, pii, simhash
 from matchloom.llm._common import fresh, shared_dir
 from matchloom.llm.catalogue import CAPACITY, gpt_tokens
 
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles with a similarity of 0.8 or more."""
-    return simhash.representatives(docs, simhash.similar(docs)).select(*docs.columns)
+    return simhash.representatives(docs, neardup.similar(docs)).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
