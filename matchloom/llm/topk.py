@@ -10,7 +10,8 @@ left after the last block has exact scores.
 Defined results: rows with a null id, or a vector that is null, empty or holds a null, NaN or
 infinite component, take no part; vectors meet only others of their length; a query never finds
 rows of its own id; ties go to the smaller id; fewer than k rows give as many as there are;
-empty tables give no rows. Scores beyond 2 ** 53 raise an error, as they would not be exact.
+empty tables give no rows. Of pairs whose score may pass 2 ** 53 the product is added in integers, outside
+of the bounds; scores beyond the range of a long count as its end.
 """
 
 from __future__ import annotations
@@ -21,11 +22,37 @@ from pyspark.sql import DataFrame
 from matchloom.llm._cells import Grid, best_of, search, usable
 
 
+EXACT = 2.0**53
+LONG = 1 << 63
+
+
+def _product(a: list[float], b: list[float]) -> int:
+    return min(max(sum(int(v) * int(w) for v, w in zip(a, b)), -LONG), LONG - 1)
+
+
+def _with_large(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int, size: np.ndarray, q_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """branch_and_bound for rows that are short enough for the query; Python's integers for the others."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(len(q)):
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = size * q_size[i] < EXACT
+        small, far = np.flatnonzero(exact), np.flatnonzero(~exact & (ids != query_ids[i]))
+        _, rows, score = branch_and_bound(ids[small], x[small], query_ids[i : i + 1], q[i : i + 1], k, block) if len(small) else (None, np.zeros(0, int), np.zeros(0, np.int64))
+        mine = q[i].tolist()
+        both = [*zip(score.tolist(), small[rows].tolist()), *((_product(x[r].tolist(), mine), r) for r in far.tolist())]
+        both = sorted(both, key=lambda p: (-p[0], ids[p[1]]))[:k]
+        out.append((np.full(len(both), i), np.array([r for _, r in both], int), np.array([s for s, _ in both], np.int64)))
+    a, b, c = zip(*out)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c)
+
+
 def branch_and_bound(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query its k best rows; x and q hold integers."""
-    longest = np.sqrt((x * x).sum(1).max()) * np.sqrt((q * q).sum(1).max())
-    if not longest < 2.0**53:
-        raise ArithmeticError("inner products beyond 2 ** 53 can't be added exactly")
+    with np.errstate(over="ignore"):
+        size, q_size = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+        large = size * q_size.max(initial=0) >= EXACT
+    if large.any():  # of each query, rows apart whose products with it may not be exact
+        return _with_large(ids, x, query_ids, q, k, block, size, q_size)
     order = np.argsort(-(x * x).sum(0), kind="stable")
     columns, q = np.ascontiguousarray(x[:, order].T), q[:, order]
     dims = len(order)
@@ -60,6 +87,6 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the largest score for each query."""
 
     def find(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return branch_and_bound(ids, np.floor(scale * x), query_ids, np.floor(scale * q), k, block)
+        return branch_and_bound(ids, np.nan_to_num(np.floor(scale * x)), query_ids, np.nan_to_num(np.floor(scale * q)), k, block)
 
     return search(usable(vectors, id_col, vec_col, False), usable(queries, id_col, vec_col, False), find, "long", k, grid)
