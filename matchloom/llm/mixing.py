@@ -13,8 +13,8 @@ summed before it is shuffled, and meets its threshold in a broadcast table of so
 join if there are over ``most_broadcast`` sources).
 
 Defined results: a null text has size 0; a null source is a source of its own; sources without
-words have target 0; rows with the same id are taken or left together, null ids as one; ties in the
-hash too; an empty table gives no rows. Everything is DataFrame functions, with no Python on executors.
+words have target 0; rows with the same id and text are taken or left together, and with
+ties in the hash too; an empty table gives no rows. Everything is DataFrame functions, with no Python on executors.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "w"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
-def document_hash(key: Column) -> Column:
-    """60 bits of the MD5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id and the text."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -113,7 +114,7 @@ def plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), document_hash(F.col(id_col)).alias("hash"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), document_hash(F.col(id_col), F.col(text_col)).alias("hash"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -132,5 +133,5 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     s, epochs, upto, copies = fresh(docs, "s", "epochs", "upto", "copies")
     how = how.select(F.col("source").alias(s), F.col("epochs").alias(epochs), F.col("upto").alias(upto))
     joined = docs.join(F.broadcast(how) if small else how, docs[source_col].cast("string").eqNullSafe(F.col(s)))
-    times = (F.col(epochs) + (document_hash(docs[id_col]) <= F.col(upto)).cast("long")).cast("int")
+    times = (F.col(epochs) + (document_hash(docs[id_col], docs[text_col]) <= F.col(upto)).cast("long")).cast("int")
     return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])

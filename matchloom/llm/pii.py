@@ -8,7 +8,7 @@ reliability for each kind from the counts of vote patterns (failed strict checks
 negatives, and never added), and the posteriors train a logistic
 classifier of spans on votes and shape. Spans of the base rules always stay; the classifier adds to them.
 
-Only counts of distinct vote-and-shape patterns reach the driver: at most
+Candidates are found once and written, without their texts where those aren't needed. Only counts of distinct vote-and-shape patterns reach the driver: at most
 ``len(KINDS) * 2 * 3 * 3 * 2 * 4 * 4`` rows for any input.
 
 Every pattern is written so that a scan is linear: a search starts only where a run of
@@ -16,7 +16,7 @@ its characters starts or where the last match ended, and repeats are possessive.
 running sums of the lengths between and of matches.
 
 Defined results: a null or empty text has no spans; rows are judged one by one, so repeated
-rows and null ids are kept as they are; clashing column names are avoided; an empty table gives
+rows and null ids are kept as they are; of equal spans the kind listed first comes first; clashing column names are avoided; an empty table gives
 no rows, and a model that adds nothing.
 """
 
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.llm._common import fresh
+from matchloom.llm._common import cut, fresh
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -193,10 +193,14 @@ class SpanModel:
     reliabilities: dict[tuple[int, str, int], tuple[float, float]]
 
 
-def vote_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, votes, shape, count): how often each pattern of votes occurs."""
-    text = docs[text_col].cast("string")
-    spans = docs.select(F.explode(candidates(text)).alias("c"))
+def proposed(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
+    """``docs`` with all candidate spans of their texts, worked out once and written."""
+    return cut(docs.withColumn(out, candidates(docs[text_col].cast("string"))))
+
+
+def vote_counts(found: DataFrame, found_col: str = "candidates") -> DataFrame:
+    """(kind, votes, shape, count): how often each pattern of votes occurs among the candidates of ``proposed``."""
+    spans = found.select(F.explode(found_col).alias("c"))
     return spans.groupBy("c.kind", *[F.col(f"c.{x}") for x in (*LABELERS, *SHAPE)]).count()
 
 
@@ -250,8 +254,9 @@ def estimate(counts: Sequence[dict], rounds: int = 60, epochs: int = 400) -> Spa
     return SpanModel(tuple(bias), w, table)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    return estimate([r.asDict() for r in vote_counts(docs, text_col).collect()])
+def fit(found: DataFrame, found_col: str = "candidates") -> SpanModel:
+    """The model of the candidates of ``proposed``."""
+    return estimate([r.asDict() for r in vote_counts(found, found_col).collect()])
 
 
 def _kept(c: Column, model: SpanModel) -> Column:
@@ -261,10 +266,9 @@ def _kept(c: Column, model: SpanModel) -> Column:
     return c["base"] | ((c["pattern"] >= 0) & (z >= 0))
 
 
-def annotate(docs: DataFrame, model: SpanModel, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """``docs`` with its spans: array<struct(start, kind, end, base)>, kind an index into KINDS."""
-    spans = let(candidates(docs[text_col].cast("string")), lambda cs: F.transform(F.filter(cs, lambda c: _kept(c, model)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base"))))
-    return docs.withColumn(out, F.when(docs[text_col].isNotNull(), spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,base:boolean>>)")))
+def decided(found: Column, model: SpanModel) -> Column:
+    """The spans among candidates: array<struct(start, kind, end, base)>, kind an index into KINDS."""
+    return F.transform(F.filter(found, lambda c: _kept(c, model)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
 
 
 def listing(spans: Column) -> Column:
@@ -286,17 +290,20 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data taken out of its texts."""
-    (spans,) = fresh(docs, "spans")
-    found = annotate(docs, model, text_col, spans)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).drop(spans)
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data taken out of its texts, by a model of their own candidates."""
+    (name,) = fresh(docs, "candidates")
+    found = proposed(docs, text_col, name)
+    spans = decided(F.col(name), fit(found, name))
+    return found.withColumn(text_col, let(spans, lambda s: redacted(F.col(text_col), s))).drop(name)
 
 
-def digest(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_<base kind>, base_sha256, spans, n_added): counts and hash of the base spans."""
-    found = annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", "found")
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_<base kind>, base_sha256, spans, n_added): counts and hash of the base spans, all spans."""
+    found = cut(docs.select(F.col(id_col).alias("doc_id"), candidates(F.col(text_col).cast("string")).alias("candidates")))
+    found = found.select("doc_id", decided(F.col("candidates"), fit(found)).alias("found"))
     found = found.select("doc_id", "found", F.filter("found", lambda s: s["base"]).alias("base"))
+
     def of(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
 

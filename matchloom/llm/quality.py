@@ -5,13 +5,13 @@ character-class 1- to 3-grams (hashed), of single ASCII marks, and figures on it
 distinct words, mean length, capitals, digits. A linear layer with tanh embeds the encoding; gated
 attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages of a document, and the weighted
 sum of their embeddings is scored by a logistic unit. All weights are learned together from document labels, by Adam on
-the bounded sample of ``fit_rows`` labelled documents chosen by a hash of their ids; of a document in that
-sample at most ``fit_passages`` passages, evenly spaced, are used for fitting. Scoring reads every passage.
+a bounded sample of labelled documents, at most about ``fit_rows`` of them and ``fit_chars`` characters, chosen by a hash of their ids. Every
+passage of a document in the sample is used; a document that no longer fits is left out whole. Scoring reads every passage.
 
 A very long text is scored as a stream: attention needs only running sums over its passages.
 
 Defined results: a null text, an empty one and one of white space have one passage that is empty; rows
-without a label, or with a label other than 0 and 1, teach nothing; repeated labels of a document are
+without a label, or with a label other than 0 and 1, teach nothing; a score of exactly 0.5 is up to the caller; repeated labels of a document are
 averaged and rounded; without labels every score is 0.5; empty tables give no rows.
 """
 
@@ -199,8 +199,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gate: in
     return MilModel(mean.astype(np.float32), scale.astype(np.float32), *[w.astype(np.float32) for w in best_p[:6]], float(best_p[6][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, fit_passages: int = 16) -> MilModel | None:
-    """Learn from the labelled rows of ``docs``; ``fit_rows`` bounds the expected size of the sample."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, fit_chars: int = 12_000_000) -> MilModel | None:
+    """Learn from the labelled rows of ``docs``; ``fit_rows`` bounds the expected size of the sample, ``fit_chars`` its texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     n = known.count()
     if not n:
@@ -208,14 +208,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     # the sample is small by its bound; its ids find their texts before texts are moved
     sample = known.where(draw < min(1.0, fit_rows / n)).groupBy("id").agg(F.round(F.avg("y")).alias("y"))
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(draw < min(1.0, fit_rows / n)).join(F.broadcast(sample), "id").select("id", "text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(draw < min(1.0, fit_rows / n))
+    sizes = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.first("y").alias("y")).orderBy(F.xxhash64("id"), "id").collect()
+    chosen, left = [], fit_chars
+    for r in sizes:
+        if r.n <= left:
+            chosen.append((r.id, r.y))
+            left -= r.n
+    if not chosen:
+        return None
+    rows = small_batches(texts).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, y double")), "id").select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 x = np.concatenate([encode(part) for part in pieces(text.as_py() or "")])
-                if len(x) > fit_passages:
-                    x = x[np.linspace(0, len(x) - 1, fit_passages).astype(int)]
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "y": pa.array([y], pa.float64()), "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
         trim()
 

@@ -67,6 +67,9 @@ def test_repeated_rows_ties_nulls_and_empty(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(got) == len(rows)
     assert len({r.taken for r in got if r.doc_id == 1}) == 1
+    null_ids = spark.createDataFrame([(None, f"a b {k}", "x" if k % 2 else "y") for k in range(400)] + [(7, "c " * 100, "z")], "doc_id long, text string, source string")
+    by_source = {r.source: (r.target, r.t) for r in mixing.mix(null_ids).groupBy("source", "target").sum("taken").withColumnRenamed("sum(taken)", "t").collect()}
+    assert all(abs(target - taken) <= 3 for s, (target, taken) in by_source.items() if s != "z")  # not one block
     assert all(r.target == 0 and r.taken == 0 for r in got if r.source == "y")
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

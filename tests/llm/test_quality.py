@@ -80,3 +80,40 @@ def test_edge_cases(spark, learned):
     assert quality.fit(docs, none) is None
     assert odd.select(quality.scorer(None)("text").alias("s")).where(F.col("s") != 0.5).count() == 0
     assert odd.limit(0).select(quality.scorer(model)("text").alias("s")).count() == 0
+
+
+def test_fitting_reads_every_passage_of_the_sampled_documents(spark, monkeypatch):
+    """Documents of 30 passages, of which one that even spacing by 16 would skip tells the label."""
+    rng, rows = random.Random(3), []
+    for k in range(160):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(64 * 30)]
+        if k % 2:
+            words[64:128] = [w.upper() + "!!" for w in words[64:128]]
+        rows.append((k, " ".join(words), 1 - k % 2))
+    bags = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda b, y: (bags.append((b, y)), train(b, y))[1])
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert len(bags[0][0]) == 160 and {len(b) for b in bags[0][0]} == {30}
+    assert np.mean([(quality.score(model, t) >= 0.5) == (y == 1) for _, t, y in rows]) > 0.9
+    quality.fit(docs, labels, fit_chars=100_000)
+    assert 1 <= len(bags[1][0]) <= 100_000 // (64 * 30 * 6) + 1 and {len(b) for b in bags[1][0]} == {30}
+
+
+def test_scores_match_a_plain_version(learned):
+    """Each passage apart, softmax over all at once, from the weights."""
+    rows, _, m = learned
+    for _, text, _ in rows[:20]:
+        words = text.split()
+        logits, hidden = [], []
+        for x in quality.encode(text):
+            z = (x - m.mean) * m.scale
+            h = np.tanh(z @ m.embed + m.embed_bias)
+            gate = np.tanh(h @ m.gate_v) / (1 + np.exp(-(h @ m.gate_u)))
+            logits.append(float(gate @ m.attend))
+            hidden.append(h)
+        e = np.exp(np.array(logits) - max(logits))
+        want = 1 / (1 + np.exp(-((e / e.sum()) @ np.array(hidden) @ m.out + m.bias)))
+        assert len(hidden) == -(-len(words) // quality.PASSAGE)
+        assert abs(quality.score(m, text) - want) < 1e-6
