@@ -87,7 +87,7 @@ TEMPLATES = {
     ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-        "This work is in the public domain.", "Dedicated to the public domain under CC0 1.0.", "Released under CC0 1.0 Universal Public Domain Dedication.", "SPDX-License-Identifier: CC0-1.0",
+        "Placed in the public domain.", "Dedicated to the public domain under CC0 1.0.", "Released under CC0 1.0 Universal Public Domain Dedication.", "SPDX-License-Identifier: CC0-1.0",
     ),
     "reserved": ("All rights reserved.", "Copyright 2020 Example Corp. All rights reserved.", "Copyright (c) 2019 the authors. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "Proprietary and confidential. All rights reserved."),
 }
@@ -118,8 +118,9 @@ OTHERS = (
     "The names of the contributors are on the last page of the report.",
     "The foundation published a new version of its map.",
 )
-# Words that say little, taken as keywords last.
-COMMON = frozenset("a above all along an and any are as at be but by can charge copy do either even file files fee for free from general have if in included including into is it its later may more must neither no nor not obtain of one option or other part parts permit person place provided public see should so subject than that the their then this to under up use used was were what which who will with without work works you your".split())
+# Words that are taken as keywords first, and words that say little in some language, taken last.
+TELLING = frozenset("affero agpl agplv3 copyright creative gnu gpl gplv2 gplv3 lesser lgpl lgplv3 licence license licensed licenses mozilla mpl redistribute redistribution redistributions spdx unencumbered warranties warranty".split())
+COMMON = frozenset("a above all along an and any are as at be but by can charge copy do either even file files fee for free from general have if in included including into is it its later may more must neither no nor not obtain of one option or other part parts permit person place provided public see should so subject than that the their then this to under up use used this those version was were what which who will with without work works you your mit met list form forms code sell met do deal into is style holder shall released portions program hope copy office name names any distribute".split())
 # What the temperature is fitted on and nothing else, by family.
 HELD_OUT = {
     "agpl": ("The code is under the GNU Affero General Public License version 3 or later.",),
@@ -170,7 +171,7 @@ def keywords(overlap: float = OVERLAP) -> list[str]:
     used = Counter(w for ts in TEMPLATES.values() for t in ts for w in set(tokens(t)))
     chosen: set[str] = set()
     for _, gs in template_grams():
-        left = sorted({w for g in gs for w in g.split()} - chosen, key=lambda w: (w in COMMON, len(w) == 1 or w.isdigit(), seen[w], -used[w], w))
+        left = sorted({w for g in gs for w in g.split()} - chosen, key=lambda w: (w in COMMON, w not in TELLING, len(w) == 1 or w.isdigit(), seen[w], -used[w], w))
         while sum(not chosen & set(g.split()) for g in gs) >= overlap * len(gs) - 1e-9:
             chosen.add(left.pop(0))
     return sorted(chosen)
