@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchloom.functions import scores
@@ -78,39 +76,30 @@ def ordering(order: str, seed: int = 0) -> list[Column] | None:
     return table[order]
 
 
-def ordered(retrieved: DataFrame, order: str, seed: int = 0) -> DataFrame:
+def ordered(retrieved: DataFrame, order: str, seed: int = 0, variant: int = 0) -> DataFrame:
     """(test_id, example_id, label, sim, pos): examples in prompt order.
 
-    o1, o2 alternate the classes, least similar first, and drop the surplus of one class; o5 shuffles by a hash;
+    o1, o2 alternate the classes, least similar first, and drop the surplus of one class; o3 follows the variant-th
+    pattern for a test's numbers of matches and non-matches, and fails where there is none; o5 shuffles by a hash;
     o6 puts the most similar last, o7 first.
     """
     by_class = Window.partitionBy("test_id", "label").orderBy(F.asc("sim"), F.desc("example_id"))
     placed = retrieved.withColumn("place", F.row_number().over(by_class))
+    both = Window.partitionBy("test_id")
+    count = lambda y: F.sum(F.when(F.col("label") == y, 1).otherwise(0)).over(both)
+    if order == "o3":
+        turns = [(p, n, y, list(x[variant][: k + 1]).count(y), k + 1) for (p, n), x in PATTERNS.items() if variant < len(x) for k, y in enumerate(x[variant])]
+        want = retrieved.sparkSession.createDataFrame(turns, "matches long, others long, label int, place int, pos int")  # a row for each place of the patterns
+        counted = placed.withColumn("matches", count(1)).withColumn("others", count(0))
+        found = counted.join(F.broadcast(want), ["matches", "others", "label", "place"], "left")
+        missing = F.format_string("no pattern for %d matches and %d non-matches", "matches", "others")
+        return found.select("test_id", "example_id", "label", "sim", F.coalesce("pos", F.raise_error(missing).cast("int")).alias("pos"))
     if order in ("o1", "o2"):
-        both = Window.partitionBy("test_id")
-        count = lambda y: F.sum(F.when(F.col("label") == y, 1).otherwise(0)).over(both)
         placed = placed.withColumn("least", F.least(count(1), count(0))).where(F.col("place") <= F.col("least"))
     at = Window.partitionBy("test_id").orderBy(*ordering(order, seed))
     return placed.select("test_id", "example_id", "label", "sim", F.row_number().over(at).alias("pos"))
 
 
-def pattern(pos: int, neg: int, variant: int = 0) -> list[int]:
-    """The variant-th pattern for so many matches and non-matches."""
-    if (pos, neg) not in PATTERNS:
-        raise ValueError(f"no pattern for {pos} matches and {neg} non-matches")
-    return PATTERNS[pos, neg][variant]
-
-
-def patterned(retrieved: DataFrame, pattern: Sequence[int]) -> DataFrame:
-    """R3b (o3): the k-th position takes the next example, least similar first, of the class that the pattern names there."""
-    turns = [(p + 1, y, list(pattern[: p + 1]).count(y)) for p, y in enumerate(pattern)]
-    spark = retrieved.sparkSession
-    want = spark.createDataFrame(turns, "pos int, label int, place int")
-    by_class = Window.partitionBy("test_id", "label").orderBy(F.asc("sim"), F.desc("example_id"))
-    placed = retrieved.withColumn("place", F.row_number().over(by_class))
-    return placed.join(F.broadcast(want), ["label", "place"]).select("test_id", "example_id", "label", "sim", "pos")
-
-
 def example_text(text: Column, label: Column, question: str) -> Column:
     return F.concat(text, F.lit(f"\n{question} "), F.when(label == 1, "Yes.").otherwise("No."))
 
@@ -133,12 +122,23 @@ def prompts(tests: DataFrame, examples: DataFrame, placed: DataFrame, item: str
     return tests.join(block, "test_id", "left").select("test_id", _prompt(F.lit(part(TASKS, task, item)), F.col("block"), F.col("text"), ask).alias("prompt"))
 
 
-def shared_prompts(tests: DataFrame, examples: DataFrame, order_col: str = "rank", item: str = "Product", task: str = "t3", question: str = "q2", k: int = 0) -> DataFrame:
-    """With as many shots as examples, all tests share one block of them. R6: fewer than ``k`` is an error."""
+def in_turn(examples: DataFrame, group: str, rank: str, order: str, seed: int = 0, variant: int = 0) -> DataFrame:
+    """``examples`` with ``pos``: the prompt order within a group, where earlier ranks count as more similar; ranks are unique there."""
+    as_found = examples.select(F.col(group).alias("test_id"), F.col(rank).cast("long").alias("example_id"), "label", (-F.col(rank)).cast("double").alias("sim"))
+    placed = ordered(as_found, order, seed, variant).select(F.col("test_id").alias("_g"), F.col("example_id").alias("_r"), "pos")
+    return examples.join(placed, (F.col(group) == F.col("_g")) & (F.col(rank) == F.col("_r"))).drop("_g", "_r")
+
+
+def shared_prompts(tests: DataFrame, examples: DataFrame, order_col: str = "rank", item: str = "Product", task: str = "t3", question: str = "q2", k: int = 0, order: str = "o7", seed: int = 0, variant: int = 0) -> DataFrame:
+    """With as many shots as examples, all tests share one block of them. R6: fewer than ``k`` is an error.
+
+    The block is in ``order``, as for retrieved examples, with those selected first as the most similar.
+    """
     if k and examples.count() < k:
         raise ValueError(f"fewer than {k} examples")
     ask = part(QUESTIONS, question, item)
-    block = examples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), example_text(F.col("text"), F.col("label"), ask).alias("shown")))), lambda s: s["shown"]), "\n\n").alias("block"))
+    placed = in_turn(examples.withColumn("_all", F.lit(0)), "_all", order_col, order, seed, variant)
+    block = placed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("o"), example_text(F.col("text"), F.col("label"), ask).alias("shown")))), lambda s: s["shown"]), "\n\n").alias("block"))
     return tests.crossJoin(F.broadcast(block)).select("test_id", _prompt(F.lit(part(TASKS, task, item)), F.col("block"), F.col("text"), ask).alias("prompt"))
 
 

@@ -39,6 +39,21 @@ class OverlapScorer:
         return out
 
 
+#: Factories of scorers by model name; ``register`` adds to them.
+SCORERS: dict[str, Callable[[], Scorer]] = {"overlap": OverlapScorer}
+
+
+def register(name: str, make: Callable[[], Scorer]) -> None:
+    SCORERS[name] = make
+
+
+def scorer(name: str) -> Callable[[], Scorer]:
+    """M1: the factory for a model; an error where none is registered, never a stand-in under another name."""
+    if name not in SCORERS:
+        raise ValueError(f"no scorer is registered for model {name!r}")
+    return SCORERS[name]
+
+
 class Retrying:
     """M5: another scorer, asked again after failures, with pauses that double up to a limit."""
 

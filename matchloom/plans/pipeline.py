@@ -53,6 +53,7 @@ class Settings:
     sample: bool = False  # draw by gain in place of the best
     style: str = "s6"
     order: str = "o7"
+    variant: int = 0  # of the patterns of o3
     question: str = "q2"
     task: str = "t3"
     seed: int = 1234
@@ -149,8 +150,9 @@ class PromptPredictor:
         self.rows, self.s, self.make = rows, s, make
 
     def predict(self, examples: list[int]) -> DataFrame:
-        shown = self.rows.where(F.col("id").isin(examples) if examples else F.lit(False)).withColumn("rank", F.col("id"))
-        prompts = retrieval.shared_prompts(self.rows.select(F.col("id").alias("test_id"), "text"), shown, "rank", self.s.noun, self.s.task, self.s.question)
+        shown = self.rows.where(F.col("id").isin(examples) if examples else F.lit(False)).withColumn("rank", F.array_position(F.array(*map(F.lit, examples)), F.col("id")) if examples else F.lit(0))
+        s = self.s
+        prompts = retrieval.shared_prompts(self.rows.select(F.col("id").alias("test_id"), "text"), shown, "rank", s.noun, s.task, s.question, order=s.order, seed=s.seed, variant=s.variant)
         return scoring.scored(prompts, self.make, batch=self.s.batch).select(F.col("test_id").alias("id"), "prob").join(self.rows.select("id", "label"), "id")
 
     def predict_many(self, sets: list[list[int]], ids: list[int]) -> list[dict[int, float]]:
@@ -159,8 +161,9 @@ class PromptPredictor:
             return [{} for _ in sets]
         spark, ask = self.rows.sparkSession, retrieval.part(retrieval.QUESTIONS, self.s.question, self.s.noun)
         members = spark.createDataFrame([(n, p, i) for n, x in enumerate(sets) for p, i in enumerate(x)], "set int, place int, id long")
-        shown = members.join(self.rows.select("id", retrieval.example_text(F.col("text"), F.col("label"), ask).alias("shown")), "id")
-        block = shown.groupBy("set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"]), "\n\n").alias("block"))
+        shown = members.join(self.rows.select("id", "label", retrieval.example_text(F.col("text"), F.col("label"), ask).alias("shown")), "id")
+        placed = retrieval.in_turn(shown, "set", "place", self.s.order, self.s.seed, self.s.variant)
+        block = placed.groupBy("set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n\n").alias("block"))
         head = retrieval.part(retrieval.TASKS, self.s.task, self.s.noun)
         asked = self.rows.where(F.col("id").isin(ids)).crossJoin(F.broadcast(block))
         prompts = asked.select("set", "id", F.concat(F.lit(head), "block", F.lit("\n\n"), "text", F.lit(f"\n{ask}")).alias("prompt"))
@@ -179,15 +182,16 @@ class PromptPredictor:
 
 
 def choose(rows: DataFrame, s: Settings, predictor: PromptPredictor) -> DataFrame:
-    """(rank, id) by the method's name."""
+    """(rank, id) by the method's name. V3: similarity ``pairdiff`` compares pairs by their cosines alone."""
+    placed, kind = (rows.withColumn("vec", F.array("score")), "l1") if s.sim == "pairdiff" else (rows, s.sim)
     if s.method == "MFL":
-        return selection.facility_location(rows, s.budget, kind=s.sim)
+        return selection.facility_location(placed, s.budget, kind=kind)
     if s.method == "fast_votek":
-        return selection.fast_votek(rows, s.budget, kind=s.sim)
+        return selection.fast_votek(placed, s.budget, kind=kind)
     if s.method == "votek":
-        return selection.votek(rows, predictor.predict, s.budget, kind=s.sim)
+        return selection.votek(placed, predictor.predict, s.budget, kind=kind)
     if s.method == "adaicl":
-        return selection.adaptive_cover(rows, predictor.predict, s.budget, kind=s.sim)
+        return selection.adaptive_cover(placed, predictor.predict, s.budget, kind=kind)
     if s.method == "cosine_sim":
         return selection.cosine_extremes(rows, s.budget)
     if s.method == "max_entropy":
@@ -223,10 +227,10 @@ def evaluate(spark: SparkSession, s: Settings, make: Callable[[], scoring.Scorer
         chosen = select(spark, s, make)
         shots = cut(entities.demonstrations(chosen, train, spark.read.parquet(s.vectors("train")).select("pair_id", "vec")).select(F.col("pair_id").alias("example_id"), "rank", "text", "label", "vec"))
         if s.k >= shots.count():
-            prompts = retrieval.shared_prompts(tests, shots, "rank", s.noun, s.task, s.question)
+            prompts = retrieval.shared_prompts(tests, shots, "rank", s.noun, s.task, s.question, order=s.order, seed=s.seed, variant=s.variant)
         else:
             found = retrieval.balanced(tests.select("test_id", "vec"), shots.select("example_id", "vec", "label"), s.k)
-            placed = retrieval.ordered(found, s.order, s.seed)
+            placed = retrieval.ordered(found, s.order, s.seed, s.variant)
             prompts = retrieval.prompts(tests.select("test_id", "text"), shots, placed, s.noun, s.task, s.question)
         judged = scoring.scored(prompts, make, batch=s.batch).join(tests.select("test_id", "label"), "test_id")
         entities.write_predictions(judged.withColumnRenamed("test_id", "pair_id"), s.predictions())
@@ -263,7 +267,8 @@ def main(argv: list[str] | None = None) -> None:
     args = vars(parser.parse_args(argv))
     stage = args.pop("stage")
     spark = SparkSession.builder.appName("matchloom").getOrCreate()
-    out = {"encode": encode, "select": select, "evaluate": evaluate}[stage](spark, Settings(**args))
+    s = Settings(**args)
+    out = encode(spark, s) if stage == "encode" else {"select": select, "evaluate": evaluate}[stage](spark, s, scoring.scorer(s.model))
     if out is not None:
         out.show(truncate=False)
 

@@ -65,6 +65,18 @@ def test_all_stages(spark, settings, method):
     assert pipeline.probability_histogram(spark, s).agg(F.sum("n")).first()[0] == 45
 
 
+def test_another_order_and_similarity(spark, settings):
+    s = dataclasses.replace(settings, work=f"{settings.work}/o1", order="o1", k=2, sim="pairdiff")
+    pipeline.encode(spark, s)
+    assert pipeline.select(spark, s).count() == s.budget
+    assert 0 <= pipeline.evaluate(spark, s).first().f1 <= 100
+
+
+def test_models_without_a_scorer_are_an_error(spark, settings):
+    with pytest.raises(ValueError, match="llama2-7b"):
+        pipeline.main(["select", "--model", "llama2-7b", "--top", settings.top, "--work", settings.work])
+
+
 def test_sweep_reports_missing_results(spark, settings):
     got = pipeline.sweep(spark, [settings, dataclasses.replace(settings, model="other")]).first().asDict()
     assert got["dataset"] == "Fodors-Zagats" and set(got) == {"dataset", "overlap", "other"}

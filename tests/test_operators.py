@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -164,10 +165,11 @@ def test_orders_and_prompts(spark):
     assert sorted(ids("o5")) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         ids("o4")
-    assert [r.example_id for r in retrieval.patterned(found, [0, 1, 1, 0]).orderBy("pos").collect()] == [4, 1, 0, 3]
-    assert retrieval.pattern(2, 2) == [0, 1, 1, 0]
-    with pytest.raises(ValueError):
-        retrieval.pattern(9, 1)
+    even = found.where("example_id <> 4")
+    by_pattern = lambda rows, v: [r.example_id for r in retrieval.ordered(rows, "o3", variant=v).orderBy("pos").collect()]
+    assert by_pattern(even, 0) == [3, 1, 0, 2] and by_pattern(even, 1) == [1, 3, 2, 0]
+    with pytest.raises(Exception, match="no pattern for 2 matches and 3 non-matches"):
+        by_pattern(found, 0)
     tests = spark.createDataFrame([(7, "this"), (8, "that")], "test_id long, text string")
     got = {r.test_id: r.prompt for r in retrieval.prompts(tests, examples, retrieval.ordered(found.where("sim >= 0.8"), "o7")).collect()}
     ask = "Are Product A and Product B the same?"
@@ -177,6 +179,12 @@ def test_orders_and_prompts(spark):
     assert shared == f"This is an entity matching task.\n\ncase0\n{ask} Yes.\n\nthat\n{ask}"
     with pytest.raises(ValueError):
         retrieval.shared_prompts(tests, examples.limit(1), "example_id", k=2)
+    # selected in the order 3, 2, 1, 0: the first counts as the most similar
+    chosen = examples.where("example_id < 4").withColumn("rank", 4 - F.col("example_id"))
+    for order, want in {"o1": [0, 2, 1, 3], "o2": [2, 0, 3, 1], "o3": [2, 0, 1, 3], "o6": [0, 1, 2, 3], "o7": [3, 2, 1, 0]}.items():
+        prompt = retrieval.shared_prompts(tests, chosen, order=order).where("test_id = 7").first().prompt
+        assert [int(x) for x in re.findall(r"case(\d)", prompt)] == want, order
+        assert prompt.endswith(f"\n\nthis\n{ask}")
     assert retrieval.prefixed_prompts(tests, "P").where("test_id = 8").first().prompt == f"P\nthat\n{ask}"
 
 
