@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from matchloom.functions import scores
 from matchloom.operators.gain import PredictMany
 from matchloom.operators.selection import Predict
-from matchloom.sources.shared import cut
 
 
 def blended(prob: Column, vec: Column, examples: Column, share: float = 0.4, sharp: float = 4.0) -> Column:
@@ -18,16 +17,16 @@ def blended(prob: Column, vec: Column, examples: Column, share: float = 0.4, sha
 
 
 class Surrogate:
-    """Predictions for (id, label, prob, vec); example sets are a label budget long at most."""
+    """Predictions for (id, label, prob, vec), a written table that each call reads; example sets are a label budget long at most."""
 
     def __init__(self, pairs: DataFrame) -> None:
-        self.pairs = cut(pairs.select("id", "label", "prob", scores.unit(F.col("vec")).alias("vec")))
+        self.pairs = pairs.select("id", "label", "prob", scores.unit(F.col("vec")).alias("vec"))
         self.spark: SparkSession = pairs.sparkSession
 
     def _sets(self, sets: list[list[int]]) -> DataFrame:
         rows = [(n, i) for n, s in enumerate(sets) for i in s]
         named = self.spark.createDataFrame([(n,) for n in range(len(sets))], "set int")
-        members = self.spark.createDataFrame(rows, "set int, id long").join(self.pairs.select("id", "vec", "label"), "id")
+        members = F.broadcast(self.spark.createDataFrame(rows, "set int, id long")).join(self.pairs.select("id", "vec", "label"), "id")
         held = members.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("id", "vec", "label"))).alias("examples"))
         none = F.expr("CAST(array() AS array<struct<id:bigint,vec:array<double>,label:int>>)")
         return named.join(held, "set", "left").select("set", F.coalesce("examples", none).alias("examples"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import blocks, gain, graph, metrics, ranking, retrieval, scoring
+from matchloom.sources.shared import cut
 
 
 @pytest.fixture(scope="module")
@@ -331,3 +332,18 @@ def test_threshold_degrees_write_no_edges(copies, m, monkeypatch):
     top, degrees = blocks.threshold_degrees(df, m, bins=32, most=50)
     assert top == pytest.approx(np.percentile(d, 100 * m), abs=1e-15)
     assert {r.id // 3: r.degree for r in degrees.collect()} == dict(enumerate((d <= top).sum(1)))
+
+
+def test_stored_rows_are_read_by_each_part_and_not_sent(copies, monkeypatch):
+    x, df = copies
+    small(monkeypatch)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    rows = cut(df.orderBy(F.desc("id")))
+    near = blocks.nearest_lists(blocks.vectors(rows, "id", "vec", True), blocks.similarity(rows, "cosine"), 25, stored=True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    assert near.rdd.getNumPartitions() == 5
+    got = {r.i // 3: [j // 3 for j in r.js] for r in near.collect()}
+    assert got == {i: sorted(range(300), key=lambda j: (-s[i, j], j))[:25] for i in range(300)}
+    assert blocks.nearest_lists(cut(df.limit(0)), blocks.similarity(rows, "cosine"), 3, stored=True).count() == 0
